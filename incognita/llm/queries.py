@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, near_dedup
+from . import common, decontaminate, fingerprint, lm_score, near_dedup, packing
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +14,38 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and backoff-automaton scores of all documents."""
+    return lm_score.score(common.table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens; ``tokenizer`` is the path of the vocabulary file."""
+    return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer or word_bpe())
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain to 0.8 or more."""
+    return decontaminate.contained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.edit_likeness(common.table(spark, sf_dir, "documents"))
+
+
+def word_bpe() -> str:
+    """The production tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_near_dedup,)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_lm_score, op6_packing, op7_decontaminate, op9_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to the DuckDB SQL that gives the same rows."""
-    return {}
+    return {"op7_decontaminate": decontaminate.ORACLE}
