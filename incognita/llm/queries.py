@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, fingerprint, lm_score, near_dedup, packing
+from . import chat, common, decontaminate, fingerprint, lm_score, near_dedup, packing, warc
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(common.table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold control strings, formatted and read back."""
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    return chat.digests(chat.format_conversations(rows.union(spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Documents packed into sequences of 2048 tokens; ``tokenizer`` is the path of the vocabulary file."""
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer or word_bpe())
@@ -29,6 +36,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    return warc.write_and_read(common.table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint.edit_likeness(common.table(spark, sf_dir, "documents"))
@@ -43,9 +55,9 @@ def word_bpe() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_near_dedup, op3_lm_score, op6_packing, op7_decontaminate, op9_fingerprint)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_lm_score, op5_chat_format, op6_packing, op7_decontaminate, op8_warc, op9_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to the DuckDB SQL that gives the same rows."""
-    return {"op7_decontaminate": decontaminate.ORACLE}
+    return {"op7_decontaminate": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
