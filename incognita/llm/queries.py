@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontaminate, fingerprint, lm_score, near_dedup, packing, warc
+from . import chat, common, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, warc
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and whether it is kept."""
+    return language_id.of_documents(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op2_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every web page, with markup, address and host as evidence beside the text."""
+    return language_id.of_pages(common.table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and backoff-automaton scores of all documents."""
     return lm_score.score(common.table(spark, sf_dir, "documents"))
@@ -55,7 +65,7 @@ def word_bpe() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_near_dedup, op3_lm_score, op5_chat_format, op6_packing, op7_decontaminate, op8_warc, op9_fingerprint)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op2_language_id_pages, op3_lm_score, op5_chat_format, op6_packing, op7_decontaminate, op8_warc, op9_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
