@@ -189,10 +189,14 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     return scores.select("id", language.alias("language"), F.when(F.col("has_letter"), 1 / norm).otherwise(0.0).alias("posterior"), kept.alias("kept"))
 
 
+def _documents(docs: DataFrame, key: Column, train_rows: int) -> DataFrame:
+    rows = docs.select(key.alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    return identify(rows, fit(rows.select("id", "text", F.col("declared").alias("label")), train_rows))
+
+
 def of_documents(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """id, language, posterior, kept of documents: ``lang`` is the label and the declaration, ``source`` the host."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    return identify(rows, fit(rows.select("id", "text", F.col("declared").alias("label")), train_rows))
+    return _documents(docs, F.col("doc_id").cast("long"), train_rows)
 
 
 def of_pages(pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -202,6 +206,7 @@ def of_pages(pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def clean(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents that aren't rejected; rows are told apart by id and text."""
-    kept = of_documents(docs, train_rows).where("not kept").select(F.col("id").alias("rejected")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("rejected"), "left_anti").select(*docs.columns)
+    """The documents that aren't rejected; rows are told apart by doc_id and text."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    rejected = _documents(docs, key, train_rows).where("not kept").select(F.col("id").alias("rejected")).distinct()
+    return docs.join(rejected, key == F.col("rejected"), "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, warc
+from . import chat, common, decontaminate, fingerprint, html_extract, language_id, lm_score, near_dedup, packing, secrets, warc
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(common.table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings, formatted and read back."""
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -56,6 +61,11 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(common.table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.find_secrets(common.table(spark, sf_dir, "documents"))
+
+
 def word_bpe() -> str:
     """The production tokenizer's vocabulary file."""
     import public_tokenizers
@@ -65,7 +75,7 @@ def word_bpe() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op2_language_id_pages, op3_lm_score, op5_chat_format, op6_packing, op7_decontaminate, op8_warc, op9_fingerprint)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_language_id, op2_language_id_pages, op3_lm_score, op4_html_extract, op5_chat_format, op6_packing, op7_decontaminate, op8_warc, op9_fingerprint, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
