@@ -5,9 +5,10 @@ bands; a band's hash is a bucket. Of every minimum four low bits are kept and pa
 counts give a collision-corrected estimate of the similarity of two documents without their texts.
 
 Candidates never grow with the square of a bucket: each bucket has a hub of its own and its members are held against
-hubs only. The best-looking of these pairs are confirmed on full sets and the links contracted to components; then
-only buckets that still span several components have their cross-component pairs estimated and confirmed, which makes
-the result whole.
+hubs only. The best-looking of these pairs are confirmed on full sets and the links contracted to components. Only
+buckets that still span several components are gone through again: pairs across components are estimated there by longer
+signatures, whose errors are small, once in the first band they share; those that stay near the threshold are confirmed
+on full sets, which makes the result whole.
 
 Edge cases: null or empty text and text without words have no shingles, link with nothing and are kept; rows that
 repeat a doc_id are judged by their own texts; rows without a doc_id take no part and come back with a null component,
@@ -28,8 +29,11 @@ from . import common
 from .common import mix
 
 ROWS = 5
+#: Low bits kept of each minimum, in the first signature and in the sharper one of the second round.
 BITS = 4
-PER_WORD = 64 // BITS
+SHARP_BITS = 2
+#: Minima in the sharper signature.
+SHARP = 1024
 #: Chance that a pair exactly at the threshold shares no bucket.
 MISS = 1e-6
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
@@ -61,13 +65,20 @@ def minima(values: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def pack(low: np.ndarray) -> np.ndarray:
-    """Low bits of the minima, ``PER_WORD`` to a 64-bit word."""
-    words = -(-low.shape[1] // PER_WORD)
-    full = np.zeros((len(low), words * PER_WORD), np.uint64)
-    full[:, : low.shape[1]] = low & np.uint32(2**BITS - 1)
-    shift = np.arange(PER_WORD, dtype=np.uint64) * np.uint64(BITS)
-    return np.bitwise_or.reduce(full.reshape(len(low), words, PER_WORD) << shift, axis=2)
+def pack(m: np.ndarray, bits: int) -> np.ndarray:
+    """Low bits of the minima, packed into 64-bit words."""
+    each = 64 // bits
+    words = -(-m.shape[1] // each)
+    full = np.zeros((len(m), words * each), np.uint64)
+    full[:, : m.shape[1]] = m & np.uint32(2**bits - 1)
+    shift = np.arange(each, dtype=np.uint64) * np.uint64(bits)
+    return np.bitwise_or.reduce(full.reshape(len(m), words, each) << shift, axis=2)
+
+
+def floor(threshold: float, k: int, bits: int) -> float:
+    """The least estimate that makes a candidate: ``MARGIN`` standard errors below the threshold."""
+    e = threshold + (1 - threshold) / 2**bits
+    return threshold - MARGIN * math.sqrt(e * (1 - e) / k) / (1 - 2.0**-bits)
 
 
 def band_keys(m: np.ndarray, bands: int) -> np.ndarray:
@@ -109,10 +120,10 @@ def sketches(docs: DataFrame, width: int, bands: int) -> DataFrame:
             k1, k2 = _identity(values, sizes)
             some = sizes > 0
             n = len(sizes)
-            keys, sig = np.zeros((n, bands), np.uint64), np.zeros((n, -(-k // PER_WORD)), np.uint64)
+            keys, sig = np.zeros((n, bands), np.uint64), np.zeros((n, -(-k * BITS // 64)), np.uint64)
             if some.any():
                 m = minima(values, sizes[some], k)
-                keys[some], sig[some] = band_keys(m, bands), pack(m)
+                keys[some], sig[some] = band_keys(m, bands), pack(m, BITS)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(keys, n), _lists(sig, n)],
                 ["doc_id", "n", "k1", "k2", "bands", "sig"],
@@ -136,18 +147,31 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "k1 long, k2 long, members array<long>")
 
 
-def estimate(a: Column, b: Column, k: int) -> Column:
+def sharper(docs: DataFrame, width: int) -> DataFrame:
+    """k1, k2 and the sharper signature of every document that has shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, sizes = _sets(b.column(0), width)
+            k1, k2 = (x[sizes > 0] for x in _identity(values, sizes))
+            sharp = pack(minima(values, sizes[sizes > 0], SHARP), SHARP_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(sharp, len(k1))], ["k1", "k2", "sharp"])
+
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, sharp array<long>")
+
+
+def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
     """Similarity from packed low bits: equal groups of bits by bit counts, less chance collisions."""
-    ones = F.lit(int("1" * PER_WORD, 16))
+    lowest = F.lit(sum(1 << i for i in range(0, 64, bits)) - (0 if bits > 1 else 1 << 64))
 
     def unequal(i: int) -> Column:
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(ones))
+        for step in range(bits.bit_length() - 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1 << step))
+        return F.bit_count(x.bitwiseAND(lowest))
 
-    differ = sum((unequal(i) for i in range(1, -(-k // PER_WORD))), unequal(0))
-    chance = 2.0**-BITS
+    differ = sum((unequal(i) for i in range(1, -(-k * bits // 64))), unequal(0))
+    chance = 2.0**-bits
     return (1 - differ / F.lit(float(k)) - chance) / (1 - chance)
 
 
@@ -190,32 +214,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     threshold = percent / 100
     bands = bands_for(threshold)
     k = bands * ROWS
-    e = threshold + (1 - threshold) / 2**BITS
-    floor = threshold - MARGIN * math.sqrt(e * (1 - e) / k) / (1 - 2.0**-BITS)
 
     all_docs = common.cut(sketches(docs, width, bands).withColumn("node", F.xxhash64("k1", "k2")).drop("k1", "k2"), "sketches")
     some = all_docs.where("n > 0 and doc_id is not null")
     classes = common.cut(some.groupBy("node").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("c")).select("node", "c.*"), "classes")
-    exploded = classes.select("node", F.explode("bands").alias("key"))
+    exploded = classes.select("node", F.posexplode("bands").alias("band", "key"))
     draw = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("hub"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("members"), F.min(draw).alias("x")).where("members > 1").select("key", F.col("x.hub").alias("hub"))
     buckets = common.cut(exploded.join(shared, "key"), "buckets")
 
     sig_of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    likely = estimate(F.col("sig_a"), F.col("sig_b"), k)
     pairs = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    rated = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").where(sized).withColumn("est", likely).where(F.col("est") >= floor)
+    rated = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").where(sized).withColumn("est", estimate(F.col("sig_a"), F.col("sig_b"), k, BITS)).where(F.col("est") >= floor(threshold, k, BITS))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))
     links = _confirmed(docs, classes, rated.select("a", "b", "est").withColumn("r", best).where(F.col("r") <= FIRST), width, percent)
     comp = components(links)
 
-    member = buckets.select("key", "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    member = buckets.select("key", "band", "node").join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    still = member.join(mixed, "key", "left_semi").join(classes.select("node", "n", "sig"), "node")
-    side = lambda x: still.select("key", F.col("node").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    across = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized & (likely >= floor)
-    more = _confirmed(docs, classes, side("a").join(side("b"), "key").where(across).select("a", "b").distinct(), width, percent)
+    still = common.cut(member.join(mixed, "key", "left_semi"), "open")
+    open_classes = classes.join(still.select("node").distinct(), "node", "left_semi")
+    sharp = sharper(_texts(docs, open_classes), width).withColumn("node", F.xxhash64("k1", "k2")).select("node", "sharp").dropDuplicates(["node"])
+    described = open_classes.select("node", "n", "bands").join(sharp, "node")
+    rows = still.join(described, "node")
+    side = lambda x: rows.select("key", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "band", "bands", "sharp")))
+    met = F.lit(False)
+    for i in range(bands - 1):
+        met = met | ((F.col("band_a") > i) & (F.get("bands_a", F.lit(i)) == F.get("bands_b", F.lit(i))))
+    likely = estimate(F.col("sharp_a"), F.col("sharp_b"), SHARP, SHARP_BITS) >= floor(threshold, SHARP, SHARP_BITS)
+    across = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized & likely & ~met
+    more = _confirmed(docs, classes, side("a").join(side("b"), "key").where(across).select("a", "b"), width, percent)
     if not more.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
@@ -228,14 +257,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Texts of the documents that stand for the classes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes.select("doc_id"), "doc_id", "left_semi").select("text")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) of classes whose full sets are similar enough, as a table."""
     c = common.cut(candidates.select("a", "b"), "candidates")
     wanted = c.select(F.col("a").alias("node")).union(c.select(F.col("b").alias("node"))).distinct()
-    ids = classes.select("node", "doc_id").join(wanted, "node", "left_semi").select("doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = full_sets(texts, width).withColumn("node", F.xxhash64("k1", "k2")).select("node", "members")
+    sets = full_sets(_texts(docs, classes.join(wanted, "node", "left_semi")), width).withColumn("node", F.xxhash64("k1", "k2")).select("node", "members")
     x = c.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
     x = x.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return common.cut(x.where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent).select("a", "b"), "confirmed")
+
+
+def clean(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each class of near duplicates, and of rows that repeat a doc_id; rows without a doc_id stay."""
+    found = common.cut(near_duplicates(docs, width, percent).where("doc_id is not null"), "near")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    ids = common.cut(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("id"), "kept"), "dropped")
+    same = F.col("doc_id").cast("long") == F.col("id")
+    rest = docs.join(ids, same, "left_anti")
+    repeated = docs.join(ids.where("kept"), same, "left_semi").dropDuplicates(["doc_id"])
+    return rest.union(repeated).select(*docs.columns)
