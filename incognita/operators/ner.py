@@ -71,7 +71,11 @@ def sentences(text: Column) -> Column:
 
 def heuristic(text: Column, patterns: dict[str, str] = HEURISTICS) -> Column:
     """Annotations by patterns."""
-    found = [F.transform(spans(text, F.lit(f"(?U){p}")), lambda s, label=label: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), F.lit(HEURISTIC_SCORE).alias("score"))) for label, p in patterns.items()]
+
+    def labelled(label: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), F.lit(HEURISTIC_SCORE).alias("score"))
+
+    found = [F.transform(spans(text, F.lit(f"(?U){p}")), labelled(label)) for label, p in patterns.items()]
     return F.concat(*found).cast(ANNOTATIONS)
 
 
