@@ -198,10 +198,10 @@ def _rewriting(source: str, prefix: str, known: bool, dedup: bool = True) -> lis
         f"firsts AS (SELECT * FROM done WHERE x NOT IN (SELECT original FROM known) {first})",
         """alia AS (SELECT f.doc_id, f.b, x AS original, f.prefix, row_number() OVER (PARTITION BY f.doc_id, f.prefix ORDER BY f.b DESC) + coalesce(k.n, 0) AS n
   FROM firsts f LEFT JOIN (SELECT prefix, max(n) AS n FROM known GROUP BY prefix) k ON k.prefix = f.prefix)""",
-        f"""repl AS (SELECT d.doc_id, d.b, d.e, d.t, coalesce('<' || a.prefix || '_' || a.n || '>', k.alias) AS alias, lag(d.e, 1, 0) OVER (PARTITION BY d.doc_id ORDER BY d.b) AS at
+        f"""repl AS (SELECT d.doc_id, d.b, d.e, d.t, coalesce('<' || a.prefix || '_' || a.n || '>', k.alias) AS alias, lag(d.e, 1, 0) OVER (PARTITION BY d.doc_id ORDER BY d.b) AS tail
   FROM done d LEFT JOIN alia a ON {joined} LEFT JOIN known k ON k.original = d.x)""",
         """outp AS (SELECT n.doc_id, n.t, coalesce(r.head, '') || substr(n.t, coalesce(r.last, 0) + 1) AS o FROM norm n
-  LEFT JOIN (SELECT doc_id, string_agg(substr(t, at + 1, b - at) || alias, '' ORDER BY b) AS head, max(e) AS last FROM repl GROUP BY doc_id) r USING (doc_id))""",
+  LEFT JOIN (SELECT doc_id, string_agg(substr(t, tail + 1, b - tail) || alias, '' ORDER BY b) AS head, max(e) AS last FROM repl GROUP BY doc_id) r USING (doc_id))""",
     ]
 
 
@@ -231,7 +231,7 @@ def chunked() -> str:
   UNION ALL SELECT y.doc_id, y.i, CASE WHEN {full} THEN y.s ELSE p.now || '. ' || y.s END, CASE WHEN {full} THEN y.n ELSE p.n + y.n END, CASE WHEN {full} THEN p.c + 1 ELSE p.c END
   FROM pack p JOIN sent y ON y.doc_id = p.doc_id AND y.i = p.i + 1)""",
             f"cut AS (SELECT doc_id, c, {ended} AS chunk FROM (SELECT doc_id, c, arg_max(now, i) AS now FROM pack GROUP BY doc_id, c))",
-            "off AS (SELECT doc_id, c, chunk, coalesce(sum(length(chunk) + 1) OVER (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM cut)",
+            "off AS (SELECT doc_id, c, chunk, coalesce(sum(length(chunk) + 1) OVER (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM cut)",
         ],
-        "SELECT doc_id, (c - 1)::INT AS chunk, at::INT AS start_pos, (at + length(chunk))::INT AS end_pos, md5(chunk) AS digest FROM off",
+        "SELECT doc_id, (c - 1)::INT AS chunk, begun::INT AS start_pos, (begun + length(chunk))::INT AS end_pos, md5(chunk) AS digest FROM off",
     )

@@ -236,7 +236,7 @@ def alias_mapping_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.create_map(*(F.lit(x) for o, a, _, _ in fixtures.KNOWN for x in (o, a)))
     base = F.create_map(*(F.lit(x).cast(t) for _, _, p, n in fixtures.KNOWN for x, t in ((p, "string"), (n, "bigint"))))
     done = ENGINE.pseudonymized(inputs(spark, sf_dir), known, base)
-    return done.select("doc_id", F.md5("output").alias("digest"), F.explode_outer("aliases").alias("a")).select("doc_id", "digest", "a.original", "a.alias", "a.n")
+    return done.select("doc_id", F.md5("output").alias("digest"), F.explode_outer("aliases").alias("a")).select("doc_id", "digest", F.coalesce("a.original", F.lit("")).alias("original"), F.coalesce("a.alias", F.lit("")).alias("alias"), F.coalesce("a.n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def depseudonymize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "entities_by_key": q(o.RESOLVE, "SELECT pkey AS priority_key, count(*) AS n FROM reso GROUP BY pkey"),
         "pseudonymize_documents": q(o.REWRITE, "SELECT doc_id, o AS text, coalesce(n, 0) AS n_applied FROM outp LEFT JOIN (SELECT doc_id, count(*) AS n FROM done GROUP BY doc_id) USING (doc_id)"),
         "alias_mapping": q(o.REWRITE, "SELECT doc_id, original, '<' || prefix || '_' || n || '>' AS alias, prefix, n FROM alia"),
-        "alias_mapping_incremental": q([*o.RESOLVE, *o.rewriting(True)], "SELECT doc_id, md5(o) AS digest, original, '<' || prefix || '_' || n || '>' AS alias, n FROM outp LEFT JOIN alia USING (doc_id)"),
+        "alias_mapping_incremental": q([*o.RESOLVE, *o.rewriting(True)], "SELECT doc_id, md5(o) AS digest, coalesce(original, '') AS original, coalesce('<' || prefix || '_' || n || '>', '') AS alias, coalesce(n, 0) AS n FROM outp LEFT JOIN alia USING (doc_id)"),
         "depseudonymize_roundtrip": q([o.DOCS, o.NORMALIZED], "SELECT doc_id, t AS text, true AS is_whole FROM norm"),
         "pseudonymize_occurrence": q(
             [*o.DETECT, "only_ner AS (SELECT c.*, t FROM cand c JOIN norm USING (doc_id) WHERE source = 'NER')", *o._rewriting("only_ner", "label", False, False)], "SELECT doc_id, o AS text FROM outp"
