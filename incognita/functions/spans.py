@@ -12,7 +12,7 @@ def spans(text: Column, pattern: Column) -> Column:
     """array<struct<start, end, text>> of the pattern's matches from left to right, in code points, end exclusive.
 
     The lengths of the texts between matches and of the matches add up to their places. The pattern may be a column; it
-    must not match the empty string. Null text or pattern gives null.
+    must not match the empty string. A null text has no matches.
     """
     found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps"))
 
