@@ -214,4 +214,4 @@ def test_readers(spark, tmp_path):
 
 
 def test_lists_are_whole():
-    assert len(lexicon.CITIES) == len(set(lexicon.CITIES)) and len(lexicon.STOPWORDS) == 21
+    assert len(set(lexicon.CITIES)) == 102 and len(set(lexicon.STOPWORDS)) == 22 and len(lexicon.EXCLUSIONS) == 18
