@@ -14,9 +14,13 @@ doc_id (also null); an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,15 +34,20 @@ END = 1
 #: Leftovers that meet in one task at each level of the final merge.
 FAN_IN = 64
 #: Words kept with their ids in a Python worker.
-CACHED = 200_000
+CACHED = 700_000
 #: Room for the sequences of one task in a sequence_id.
 SPAN = 1 << 32
 
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
 PIECE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long"
 
 
 class Encoder:
-    """Texts to token ids (little-endian 32-bit), word by word: the vocabulary's pieces never cross white space."""
+    """Texts to token ids (little-endian 32-bit), word by word: the vocabulary's pieces never cross white space.
+
+    A full stop or comma between an ASCII letter and white space is a piece of its own, and A-Z are read as a-z, so both
+    are parted and folded before words are looked up.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,18 +56,28 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return b"".join(map(self.known.__getitem__, words))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; words that aren't known yet are tokenized together."""
+        split = [_STOP.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split() for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if new:
+            if len(self.known) + len(new) > CACHED:
+                self.known = dict(islice(self.known.items(), CACHED // 3))  # the first to come are the frequent ones
+                new = list(set().union(*split).difference(self.known))
+            found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in new], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new)), "right")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(new, (ends * 4).tolist()):
+                self.known[w] = data[at:end]
+                at = end
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """This process's encoder: what it knows serves all tasks that run here."""
+    return Encoder(path)
 
 
 class Packer:
@@ -165,12 +184,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = O
     spark = docs.sparkSession
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
 
         def pieces() -> Iterator[tuple]:
             for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = encoder.encode(text) + END.to_bytes(4, "little")
+                for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).encode(b.column(1).to_pylist())):
+                    ids += END.to_bytes(4, "little")
                     yield doc, 0, ids, len(ids) // 4
 
         yield from _stream(pieces(), task, task * SPAN, length, windows, False)

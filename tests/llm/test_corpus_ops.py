@@ -144,7 +144,7 @@ def check_packing(rows, found, path):
 
 
 def test_packing_keeps_every_token_once(spark, corpus):
-    rows = [*corpus, (9000, None), (9001, ""), (9002, "<|endoftext|> é́ x" * 2000)]
+    rows = [*corpus, (9000, None), (9001, ""), (9002, "<|endoftext|> é́ x" * 2000), (9003, "don't. It's, a,b. c.\u0301 &&&, 12. X., ÀB. o\u0308. end."), (9004, "\u0301a.\x0bb,\x1cc")]
     path = queries.word_bpe()
     check_packing(rows, packing.pack(docs_of(spark, rows).repartition(7), path).collect(), path)
     assert packing.pack(docs_of(spark, []), path).count() == 0
