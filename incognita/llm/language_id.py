@@ -61,6 +61,18 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return slot, np.diff(edges)
 
 
+def pieces(texts: list[str | None], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of the texts with about ``size`` characters each, so that a batch of long texts takes no more memory."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t or "") + 2
+        if held >= size:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class Model:
     """Log-likelihoods of trigrams, one row a slot and one column a language; the last column is "other"."""
 
@@ -71,13 +83,14 @@ class Model:
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """Tempered log-likelihood of each text in each language, relative to the best."""
-        slot, n = trigrams(texts)
         out = np.zeros((len(texts), len(self.languages)))
-        some = n > 0
-        if some.any():
-            starts = np.concatenate([[0], np.cumsum(n)])[:-1][some]
-            for k in range(len(self.languages)):
-                out[some, k] = np.add.reduceat(self.table[slot, k], starts, dtype=np.float64)
+        for start, end in pieces(texts):
+            slot, n = trigrams(texts[start:end])
+            some = n > 0
+            if some.any():
+                starts = np.concatenate([[0], np.cumsum(n)])[:-1][some]
+                for k in range(len(self.languages)):
+                    out[start:end][some, k] = np.add.reduceat(self.table[slot, k], starts, dtype=np.float64)
         out *= TEMPER
         return np.maximum(out - out.max(axis=1, keepdims=True), -CERTAIN)
 
@@ -95,7 +108,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(label, []).append(text)
             for label, texts in by.items():
-                sums[label] = sums.get(label, 0) + np.bincount(trigrams(texts)[0], minlength=TABLE)
+                for start, end in pieces(texts):
+                    sums[label] = sums.get(label, 0) + np.bincount(trigrams(texts[start:end])[0], minlength=TABLE)
         for label, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at), pa.array(c[at])], ["label", "slot", "n"])

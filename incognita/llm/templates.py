@@ -235,6 +235,8 @@ def parse(source: str, filters: Mapping[str, Callable]) -> tuple:
         if (m[1][1] == "{") != (m[3][-2] == "}"):
             raise TemplateError("a tag isn't closed as it was opened")
     parts.append(("text", source[at:].lstrip() if strip else source[at:]))
+    if any(kind == "text" and ("{{" in value or "{%" in value) for kind, value in parts):
+        raise TemplateError("a tag isn't closed")
     nodes, end, rest = _block(parts, 0, filters, ())
     if rest < len(parts):
         raise TemplateError(f"unexpected {end}")
