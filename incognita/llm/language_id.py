@@ -163,7 +163,6 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     kinds = ", ".join(["id long, declared string, host string, has_letter boolean", *(f"{n} double" for n in names)])
     scored = common.cut(head.withColumn("id", F.col("id").cast("long")).mapInArrow(score, kinds), "evidence")
 
-    top = F.greatest(*(F.exp(n) for n in names))
     total = sum((F.exp(n) for n in names[1:]), F.exp(names[0]))
     shares = scored.where("has_letter and host is not null").groupBy("host").agg(*(F.sum(F.exp(n) / total).alias(n) for n in names))
     labels = F.split("host", r"\.")
