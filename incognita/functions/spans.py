@@ -31,6 +31,21 @@ def spans(text: Column, pattern: Column) -> Column:
     return F.element_at(F.transform(F.array(found), placed), 1)
 
 
+#: Texts of these characters alone part into words as ``_GAP`` says; others take the slower Unicode classes.
+_LATIN = r"^[\x{0}-\x{24F}\x{2000}-\x{200B}\x{2010}-\x{2027}\x{2030}-\x{203E}\x{20AC}]*$"
+_GAP = r"[\x{0}-/:-@\[-^`{-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{20AC}]+"
+#: Words that stand for what a text holds: two digits side by side, an at sign.
+DIGITS, AT = "#digits", "#at"
+
+
 def words_of(text: Column) -> Column:
     """The distinct lower-cased words of a text, as word boundaries part them."""
-    return F.array_distinct(F.split(F.lower(text), r"(?U)\W+"))
+    low = F.lower(text)
+    return F.array_distinct(F.when(text.rlike(_LATIN), F.split(low, _GAP)).otherwise(F.split(low, r"(?U)\W+")))
+
+
+def hits(text: Column, anchors: list[str]) -> Column:
+    """Those of the anchors that a text holds: words, ``DIGITS`` and ``AT``."""
+    words = F.array_intersect(words_of(text), F.lit(sorted(anchors)).cast("array<string>"))
+    signs = F.array(F.when(text.rlike(r"\p{Nd}{2}"), DIGITS), F.when(F.contains(text, F.lit("@")), AT))
+    return F.concat(words, F.array_compact(signs))

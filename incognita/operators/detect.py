@@ -7,12 +7,12 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import spans, words_of
+from ..functions.spans import spans
 from ..functions.text import strip
 from ..sources import catalog, lexicon
 from .entities import ENTITIES, changed, entity, let, none, numbered
 
-#: Gazetteer entries up to which they are a constant of the plan; larger ones are to be joined by word.
+#: Gazetteer entries that may be a constant of the plan.
 LITERAL_ENTRIES = 5000
 _RULE = "array<struct<label:string,category:string,pattern:string,geo:boolean,anchors:array<string>>>"
 _NAME = "array<struct<label:string,category:string,pattern:string,anchors:array<string>,least:int>>"
@@ -43,12 +43,16 @@ def extended(text: Column, e: Column) -> Column:
     return let(place, lambda p: F.when(p == "", e).otherwise(changed(e, text=F.concat_ws(" ", e["text"], strip(p)), end=e["end"] + F.length(p))))
 
 
-def rule_entities(text: Column, rules: list[catalog.Rule]) -> Column:
-    """The matches of all rules in order."""
+def anchors_of_all(rules: list[catalog.Rule], gazetteers: dict[str, list[tuple[str, str]]]) -> list[str]:
+    """The words and signs that rules and names look for."""
+    return sorted({a for r in rules for a in r.anchors} | {w for names in gazetteers.values() for n, _ in names for w in first_word(n)})
+
+
+def rule_entities(text: Column, held: Column, rules: list[catalog.Rule]) -> Column:
+    """The matches of all rules in order; ``held`` are the anchors that the text holds."""
     if not rules:
         return none()
     table = _constant([{"label": r.label, "category": r.category, "pattern": catalog.java(r), "geo": r.extend_geo, "anchors": list(r.anchors)} for r in rules], _RULE)
-    anchors = F.lit(sorted({a for r in rules for a in r.anchors})).cast("array<string>")
 
     def of_rule(t: Column, r: Column) -> Column:
         found = F.filter(F.transform(spans(t, r["pattern"]), trimmed), lambda s: s["text"] != "")
@@ -59,10 +63,7 @@ def rule_entities(text: Column, rules: list[catalog.Rule]) -> Column:
 
         return F.transform(found, of_match)
 
-    def of_text(x: Column) -> Column:
-        return F.flatten(F.transform(_active(table, x["words"]), lambda r: of_rule(x["t"], r)))
-
-    return let(F.struct(text.alias("t"), F.array_intersect(words_of(text), anchors).alias("words")), of_text)
+    return F.flatten(F.transform(_active(table, held), lambda r: of_rule(text, r)))
 
 
 def first_word(name: str) -> list[str]:
@@ -75,7 +76,7 @@ def first_word(name: str) -> list[str]:
     return [word] if word else []
 
 
-def gazetteer_entities(text: Column, gazetteers: dict[str, list[tuple[str, str]]]) -> Column:
+def gazetteer_entities(text: Column, held: Column, gazetteers: dict[str, list[tuple[str, str]]]) -> Column:
     """The names of all gazetteers, in any case, between word boundaries; gazetteers in the order of their names."""
     entries = [
         {
@@ -89,20 +90,16 @@ def gazetteer_entities(text: Column, gazetteers: dict[str, list[tuple[str, str]]
         for name, category in names
     ]
     if len(entries) > LITERAL_ENTRIES:
-        raise ValueError(f"{len(entries)} entries: use gazetteer_join")
+        raise ValueError(f"{len(entries)} gazetteer entries; at most {LITERAL_ENTRIES} can be a constant of the plan")
     if not entries:
         return none()
     table = _constant(entries, _NAME)
-    anchors = F.lit(sorted({a for r in entries for a in r["anchors"]})).cast("array<string>")
 
     def of_name(t: Column, r: Column) -> Column:
         found = F.filter(spans(t, r["pattern"]), lambda s: F.length(strip(s["text"])) >= r["least"])
         return F.transform(found, lambda s: entity(start=s["start"], end=s["end"], text=strip(s["text"]), label=r["label"], source=F.lit("GAZETTEER"), category=r["category"], score=F.lit(1.0)))
 
-    def of_text(x: Column) -> Column:
-        return F.flatten(F.transform(_active(table, x["words"]), lambda r: of_name(x["t"], r)))
-
-    return let(F.struct(text.alias("t"), F.array_intersect(words_of(text), anchors).alias("words")), of_text)
+    return F.flatten(F.transform(_active(table, held), lambda r: of_name(text, r)))
 
 
 def ner_entities(text: Column, annotations: Column) -> Column:

@@ -19,10 +19,12 @@ CHUNKS = "array<struct<text:string,start:int,end:int>>"
 # Patterns of the heuristic backend, by label.
 HEURISTICS = {
     "PER": r"\b[A-Z][a-z]+ [A-Z]{2,}\b",
-    "LOC": r"\b(?:[Rr]ue|[Aa]venue|\d{5}) [A-Z][a-z]+\b",
+    "LOC": r"\b(?:[Rr]ue|[Aa]venue|[0-9]{5}) [A-Z][a-z]+\b",
     "ORG": r"\b[A-Z]{2,} [A-Z][a-z]+\b",
 }
 HEURISTIC_SCORE = 0.5
+#: What a text must hold for a heuristic pattern to match at all; plain ASCII classes are quick to look for.
+GUARDS = {"PER": " [A-Z]{2}", "LOC": "[Rr]ue |[Aa]venue |[0-9]{5} ", "ORG": "[A-Z]{2} "}
 
 
 def whitespace_tokens(sentence: Column) -> Column:
@@ -75,7 +77,13 @@ def heuristic(text: Column, patterns: dict[str, str] = HEURISTICS) -> Column:
     def labelled(label: str) -> Callable[[Column], Column]:
         return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), F.lit(HEURISTIC_SCORE).alias("score"))
 
-    found = [F.transform(spans(text, F.lit(f"(?U){p}")), labelled(label)) for label, p in patterns.items()]
+    none = F.array().cast(ANNOTATIONS)
+
+    def of(label: str, pattern: str) -> Column:
+        found = F.transform(spans(text, F.lit(f"(?U){pattern}")), labelled(label)).cast(ANNOTATIONS)
+        return F.when(text.rlike(GUARDS[label]), found).otherwise(none) if patterns is HEURISTICS else found
+
+    found = [of(label, p) for label, p in patterns.items()]
     return F.concat(*found).cast(ANNOTATIONS)
 
 

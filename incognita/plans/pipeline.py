@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import hits
 from ..functions.text import normalize
 from ..operators import classify, detect, ner, resolve, rewrite
-from ..operators.entities import none
+from ..operators.entities import let, none
 from ..sources import catalog, lexicon
 
 
@@ -52,7 +53,13 @@ class Engine:
 
     def candidates(self, docs: DataFrame) -> DataFrame:
         """doc_id, text, entities: all candidates."""
-        return self._stage(docs, lambda t, n: detect.candidates(self.named(t, n), detect.rule_entities(t, self.rules()), detect.gazetteer_entities(t, self.gazetteers)))
+        rules = self.rules()
+        anchors = detect.anchors_of_all(rules, self.gazetteers)
+
+        def found(t: Column, n: Column) -> Column:
+            return let(hits(t, anchors), lambda held: detect.candidates(self.named(t, n), detect.rule_entities(t, held, rules), detect.gazetteer_entities(t, held, self.gazetteers)))
+
+        return self._stage(docs, found)
 
     def step(self, docs: DataFrame, change) -> DataFrame:
         """The documents with ``entities`` changed by a function of text and entities, computed once."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
+from ..functions.spans import hits
 from ..operators import classify, detect, ner, resolve, rewrite
 from ..operators.entities import rows
 from ..sources import catalog, lexicon, readers
@@ -23,7 +24,7 @@ ENGINE = Engine(extra=fixtures.EXTRA_RULES)
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text of the table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text"))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,19 +112,15 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- candidates ---------------------------------------------------------------------------------------------------
 
 
-def _candidates(condition: Column | None = None) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: listed(ENGINE.candidates(inputs(spark, sf_dir)), condition)
-
-
 def _rules(label: str) -> Callable[[SparkSession, str], DataFrame]:
-    return _candidates((F.col("source") == "RULES") & (F.col("label") == label))
+    return lambda spark, sf_dir: listed(ENGINE.candidates(inputs(spark, sf_dir)), (F.col("source") == "RULES") & (F.col("label") == label))
 
 
 def rules_geo_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule matches that a following place extended, and whether their text still is the slice."""
     docs = Engine._once(ENGINE.normalized(inputs(spark, sf_dir)))
     bare = [catalog.Rule(r.seq, r.family, r.label, r.category, r.pattern, r.ignore_case, False, r.anchors) for r in ENGINE.rules() if r.extend_geo]
-    found = docs.select("doc_id", "text", F.explode(detect.rule_entities(F.col("text"), bare)).alias("e"))
+    found = docs.select("doc_id", "text", F.explode(detect.rule_entities(F.col("text"), hits(F.col("text"), detect.anchors_of_all(bare, {})), bare)).alias("e"))
     long = found.select("doc_id", "text", "e", detect.extended(F.col("text"), F.col("e")).alias("x")).where(F.col("x.end") > F.col("e.end"))
     whole = F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start")) == F.col("x.text")
     return long.select("doc_id", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), F.col("x.text").alias("entity"), F.col("x.category").alias("category"), whole.alias("is_slice"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from ..functions.spans import AT, DIGITS
+
 #: An initial that may be accented, and the rest of a name.
 CAP = "[A-ZÉÈÀÂÎÙÔÇ]"
 NAME = rf"{CAP}[\w'\- ]+"
@@ -20,7 +22,7 @@ LONG = rf"{CAP}[A-Za-zÀ-ÖØ-öø-ÿ'\- ]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern: every match holds one of ``anchors`` as a lower-cased word, if there are any."""
+    """One pattern: every match holds one of ``anchors`` (lower-cased words, or signs), if there are any."""
 
     seq: int
     family: str
@@ -242,6 +244,8 @@ ANCHORS = {
     r"\b[Rr]esidence(?:s)?\s": ("residence", "residences"),
     r"\b[Rr][ée]sidence(?:s)?\s": ("résidence", "residence", "résidences", "residences"),
     r"\b[Ff]oyer(?:-|\s)?logement": ("foyer", "foyerlogement"),
+    **{head: (DIGITS,) for head in (r"\b0[1-9]", r"\+33", r"\b(?:1\d{2,3}|3\d{3})", r"\b[12]\s?\d{2}\s?\d{2}")},
+    r"\b[\w.%+-]+@": (AT,),
 }
 
 

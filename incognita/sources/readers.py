@@ -19,6 +19,16 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MAPPING = "forward map<string,string>, reverse map<string,string>, counters map<string,bigint>, stats struct<total_entities:bigint,per_type:map<string,bigint>>"
 
 
+#: Input up to which rows are dealt to all cores: a small file of one row group would be one task.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """The documents, dealt to all cores if the files they come from are small; larger inputs stay as they are split."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else docs
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (a hash of the path), path and text of whole UTF-8 files."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -215,3 +215,12 @@ def test_readers(spark, tmp_path):
 
 def test_lists_are_whole():
     assert len(set(lexicon.CITIES)) == 102 and len(set(lexicon.STOPWORDS)) == 22 and len(lexicon.EXCLUSIONS) == 18
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'rules_org' in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
