@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from ..functions.spans import AT, DIGITS
 from ..operators.ner import HEURISTIC_SCORE, HEURISTICS
 from ..sources import catalog, lexicon
 from . import fixtures
@@ -55,7 +56,8 @@ NORMALIZED = f"""norm AS MATERIALIZED (SELECT doc_id, t, {SHADOW.format("t")} AS
 
 
 def _matches(key: str, column: str, pattern: str, options: str, anchors: tuple[str, ...] = ()) -> str:
-    where = f" WHERE {any_of(f'lower({column})', list(anchors))}" if anchors else ""
+    words = [a for a in anchors if a not in (AT, DIGITS)]
+    where = f" WHERE {any_of(f'lower({column})', words)}" if words else ""
     return f"SELECT doc_id, {key}, regexp_extract_all({column}, {q(pattern)}, 0, {q(options)}) AS m, string_split_regex({column}, {q(pattern)}, {q(options)}) AS s FROM norm{where}"
 
 
