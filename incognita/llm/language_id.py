@@ -221,5 +221,5 @@ def of_pages(pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 def clean(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that aren't rejected; rows are told apart by doc_id and text."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    rejected = _documents(docs, key, train_rows).where("not kept").select(F.col("id").alias("rejected")).distinct()
-    return docs.join(rejected, key == F.col("rejected"), "left_anti").select(*docs.columns)
+    rejected = _documents(docs, key, train_rows).where("not kept").select(F.col("id").alias("__rejected")).distinct()
+    return docs.join(rejected, key == F.col("__rejected"), "left_anti").select(*docs.columns)

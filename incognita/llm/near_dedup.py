@@ -276,9 +276,9 @@ def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width
 def clean(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class of near duplicates, and of rows that repeat a doc_id; rows without a doc_id stay."""
     found = common.cut(near_duplicates(docs, width, percent).where("doc_id is not null"), "near")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    ids = common.cut(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("id"), "kept"), "dropped")
-    same = F.col("doc_id").cast("long") == F.col("id")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    ids = common.cut(ids.where("not __kept or __rows > 1").select(F.col("doc_id").alias("__id"), "__kept"), "dropped")
+    same = F.col("doc_id").cast("long") == F.col("__id")
     rest = docs.join(ids, same, "left_anti")
-    repeated = docs.join(ids.where("kept"), same, "left_semi").dropDuplicates(["doc_id"])
+    repeated = docs.join(ids.where("__kept"), same, "left_semi").dropDuplicates(["doc_id"])
     return rest.union(repeated).select(*docs.columns)

@@ -9,7 +9,7 @@ import zlib
 import duckdb
 import pytest
 
-from incognita.llm import common, decontaminate, fingerprint, lm_score, near_dedup, packing, queries
+from incognita.llm import common, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, block string, n long"
 
@@ -73,6 +73,16 @@ def test_near_duplicates_edge_rows(spark):
     assert near_dedup.near_duplicates(docs_of(spark, []), 3, 85).count() == 0
 
 
+def test_filters_leave_clashing_columns_alone(spark):
+    rows = [(1, "the and of that with this", "en", "s", 5, "a", True, 7), (1, "the and of that with this", "en", "s", 5, "a", True, 7), (2, "the and of that with this", "en", "s", 5, "b", None, 8), (3, "12", "en", "s", 5, None, False, None), (None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, kept boolean, rejected long")
+    items = spark.createDataFrame([(1, "x y z", "t")], "item_id long, text string, kept string")
+    kept = near_dedup.clean(docs)
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+    assert {r.doc_id for r in language_id.clean(docs).collect()} == {1, 2}
+    assert decontaminate.clean(docs, items).count() == 5 and decontaminate.clean(docs, items).columns == docs.columns
+
+
 def test_estimates_follow_the_similarity():
     import numpy as np
 
