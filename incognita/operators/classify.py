@@ -129,6 +129,21 @@ def disambiguated(text: Column, e: Column) -> Column:
     return F.when((e["label"] == "PER") & titled, _named(e, "PROFESSION", "CONTEXTUAL_PROFESSION")).otherwise(e)
 
 
+def is_person_name(text: Column) -> Column:
+    """Whether the stripped text has the form of a person's full name."""
+    return strip(text).rlike("(?U)" + "|".join(lexicon.PERSON_FORMS))
+
+
+def has_person_context(context: Column, name: Column) -> Column:
+    """Whether the lower-cased surroundings of a name tell a person: civilities, functions, ages."""
+    low = F.lower(strip(name))
+    found = F.lit(False)
+    for form in lexicon.PERSON_CONTEXT:
+        before, gap, after = form.partition("{}")
+        found = found | F.contains(context, F.concat(F.lit(before), low, F.lit(after)) if gap else F.lit(form))
+    return found
+
+
 def filtered(text: Column, entities: Column, exclusions: list[str]) -> Column:
     """Without stop words, excluded and invalid entities."""
     return F.filter(entities, lambda e: not_stopword(text, e) & not_excluded(e, exclusions) & valid(e))

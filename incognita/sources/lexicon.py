@@ -15,7 +15,17 @@ FOLDED = {
 STOPWORDS = "avenue rue bd boulevard place pl secteur jean saint sainte de du des la le les nord sud est ouest centre ville".split()
 FRAGMENTS = ["du", "de la", "de l", "des", "Les", "Pôle", "Industrie", "rue de l"]
 AMBIGUOUS = ["ME", "C", "M", "AS", "ES", "IS"]
-JOB_TITLES = [
+JOB_# Fixed values: forms of a person's full name, and what stands around one ({} is the name).
+PERSON_FORMS = [
+    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ]{2,}$",
+    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ][a-zà-ÿ]+$",
+    r"^[A-ZÀ-ÿ]\.\s*[A-ZÀ-ÿ][a-zà-ÿ]+$",
+    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ][a-zà-ÿ]+(?:\s+[A-ZÀ-ÿ][a-zà-ÿ]+)?$",
+]
+PERSON_CONTEXT = ["mme {}", "m. {}", "monsieur {}", "madame {}", "dr {}", "professeur {}"]
+PERSON_CONTEXT += ["{}, directeur", "{}, directrice", "{}, responsable", "{}, chef", "{}, tutrice", "{}, tuteur"]
+PERSON_CONTEXT += [", ans", " ans,", "{}, 2", "{}, 3", "{}, 4", "{}, 5", "{}, 6"]
+TITLES = [
     "technicien intervention sociale et familiale",
     "assistant familial",
     "éducateur",

@@ -166,6 +166,12 @@ def test_establishment_names_and_predicates(spark):
     assert [r.x for r in df.select(classify.is_establishment_name(F.col("n"), F.col("c")).alias("x")).collect()] == [True, False, True, False]
 
 
+def test_person_predicates(spark):
+    rows = [("Jean DUPONT", "par mme jean dupont hier"), ("A. Martin", "rien"), ("le chat", "le chat, directeur"), ("Anne Marie Curie", "a 12 ans, dit")]
+    df = spark.createDataFrame(rows, "n string, c string").select(classify.is_person_name(F.col("n")).alias("p"), classify.has_person_context(F.col("c"), F.col("n")).alias("x"))
+    assert [tuple(r) for r in df.collect()] == [(True, True), (True, False), (False, True), (True, True)]
+
+
 def test_chunks_move_by_their_lengths(spark):
     text = ". ".join(" ".join(["mot"] * 30) for _ in range(40))
     found = spark.createDataFrame([(text,)], "t string").select(ner.chunks(F.col("t")).alias("c")).first().c
