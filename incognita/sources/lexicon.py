@@ -15,17 +15,7 @@ FOLDED = {
 STOPWORDS = "avenue rue bd boulevard place pl secteur jean saint sainte de du des la le les nord sud est ouest centre ville".split()
 FRAGMENTS = ["du", "de la", "de l", "des", "Les", "Pôle", "Industrie", "rue de l"]
 AMBIGUOUS = ["ME", "C", "M", "AS", "ES", "IS"]
-JOB_# Fixed values: forms of a person's full name, and what stands around one ({} is the name).
-PERSON_FORMS = [
-    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ]{2,}$",
-    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ][a-zà-ÿ]+$",
-    r"^[A-ZÀ-ÿ]\.\s*[A-ZÀ-ÿ][a-zà-ÿ]+$",
-    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ][a-zà-ÿ]+(?:\s+[A-ZÀ-ÿ][a-zà-ÿ]+)?$",
-]
-PERSON_CONTEXT = ["mme {}", "m. {}", "monsieur {}", "madame {}", "dr {}", "professeur {}"]
-PERSON_CONTEXT += ["{}, directeur", "{}, directrice", "{}, responsable", "{}, chef", "{}, tutrice", "{}, tuteur"]
-PERSON_CONTEXT += [", ans", " ans,", "{}, 2", "{}, 3", "{}, 4", "{}, 5", "{}, 6"]
-TITLES = [
+JOB_TITLES = [
     "technicien intervention sociale et familiale",
     "assistant familial",
     "éducateur",
@@ -59,6 +49,16 @@ ARTICLE_CITIES = "paris lyon marseille toulouse nice nantes montpellier strasbou
 HOST_VERBS = ["accueille", "accompagne", "héberge", "prend en charge", "suit", "oriente", "évalue", "propose", "offre", "dispense", "assure"]
 PLANTS = "tilleuls peupliers chênes ormes platanes érables acacias cyprès pins sapins bouleaux frênes roses lilas jasmin glycines magnolias".split()
 CHU_STOP = ["de", "du", "des", "le", "la", "les", "et", "ou", "avec", "pour"]
+# Forms of a person's full name, and what stands around one ({} is the name).
+PERSON_FORMS = [
+    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ]{2,}$",
+    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ][a-zà-ÿ]+$",
+    r"^[A-ZÀ-ÿ]\.\s*[A-ZÀ-ÿ][a-zà-ÿ]+$",
+    r"^[A-ZÀ-ÿ][a-zà-ÿ]+\s+[A-ZÀ-ÿ][a-zà-ÿ]+(?:\s+[A-ZÀ-ÿ][a-zà-ÿ]+)?$",
+]
+PERSON_CONTEXT = ["mme {}", "m. {}", "monsieur {}", "madame {}", "dr {}", "professeur {}"]
+PERSON_CONTEXT += ["{}, directeur", "{}, directrice", "{}, responsable", "{}, chef", "{}, tutrice", "{}, tuteur"]
+PERSON_CONTEXT += [", ans", " ans,", "{}, 2", "{}, 3", "{}, 4", "{}, 5", "{}, 6"]
 TITLES = ["dr ", "docteur ", "professeur ", "pr "]
 CITIES = (
     "paris,marseille,lyon,toulouse,nice,nantes,montpellier,strasbourg,bordeaux,lille,rennes,reims,le havre,saint-étienne,toulon,grenoble,dijon,"
