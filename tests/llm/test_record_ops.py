@@ -241,7 +241,7 @@ def test_pipeline_stages_do_what_they_say(spark, tmp_path):
     import corpus_pipeline
 
     docs = duckdb.sql("select * from '/root/testdata/sf0.001/documents.parquet'").df()
-    item = duckdb.sql("select text from '/root/testdata/sf0.001/benchmark.parquet' limit 1").fetchone()[0]
+    item = duckdb.sql("select text from '/root/testdata/sf0.001/benchmark.parquet' order by item_id limit 1").fetchall()[0][0]
     sf = tmp_path / "sf"
     extra = [(9001, f"words before {item} words after"), (9002, "only 123"), (9003, "12 34"), (9004, None), (9005, "the of and token=abcdef123456 in that"), (9005, "the of and token=abcdef123456 in that")]
     frame = spark.createDataFrame([(int(i), t, "en", "src1", len(t or "")) for i, t in [*zip(docs.doc_id, docs.text), *extra]], "doc_id long, text string, lang string, source string, n_chars long")
