@@ -1,19 +1,20 @@
 """Secret scans: fixed credential patterns, and values of credential contexts rated by the cost of guessing them.
 
 The base patterns (assignments, access keys, long hexadecimal runs) are reported as they match. Beyond them, values in
-further credential contexts (a wider list of key words, an optional verb, quoted or bare values) are segmented by dynamic
-programming into common words, dates, repeats, keyboard walks and brute-force spans, so that the product of the spans'
-guess counts, times the orders of as many spans, is least. A value that costs ``STRONG`` guesses or more and mixes kinds
+further credential contexts (a wider list of key words, an optional verb, quoted or bare values of any length) are
+segmented by dynamic programming into common words, dates, repeats, keyboard walks and brute-force spans, so that the
+product of the spans' guess counts, times the orders of as many spans, is least. A value that costs ``STRONG`` guesses or more and mixes kinds
 of characters is a secret as well; prose after a colon isn't.
 
 Edge cases: null text counts as empty and has no spans; texts are scanned whole; overlapping spans of different kinds are
-all reported; rows that repeat a doc_id are scanned each; an empty table gives an empty result; further columns are
-ignored.
+all reported, save values that a base span holds whole; rows that repeat a doc_id are scanned each; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -33,12 +34,13 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth|bearer|credential|(?:api|access|private|secret|client|signing)[_-]?(?:key|secret|token))s?["']?(?:\x20*[:=]\x20*|\x20+(?:is|was)\x20+)(?:["']([^"'\s]{6,128})["']|([^\s"',;<>]{6,128}))""",
+    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth|bearer|credential|(?:api|access|private|secret|client|signing)[_-]?(?:key|secret|token))s?["']?(?:\x20*[:=]\x20*|\x20+(?:is|was)\x20+)(?:["']([^"'\s]{6,})["']|([^\s"',;<>]{6,}))""",
     re.I | re.A,
 )
 #: log10 of the guesses from which a value counts as a secret.
 STRONG = 10.0
-LONGEST = 128
+#: Characters of the longest value whose verdict is remembered.
+REMEMBERED = 128
 
 # Words that open most guessing lists, commonest first.
 WORDS = """password admin user login welcome letmein secret dragon monkey master shadow sunshine princess football baseball
@@ -62,35 +64,36 @@ def brute_cost(s: str) -> float:
     return len(s) * math.log10(max(kinds, 10))
 
 
-def span_costs(value: str) -> list[tuple[int, int, str, float]]:
-    """All spans (start, end, kind, log10 of guesses) that a guesser has a name for."""
-    out, n, low = [], len(value), value.lower()
-    plain = low.translate(LEET)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
-            cost = 0.0
-            rank = RANK.get(low[i:j])
-            if not rank and (rank := RANK.get(plain[i:j])):
-                cost += math.log10(2 * sum(a != b for a, b in zip(low[i:j], plain[i:j])) or 1)
-            if rank:
-                case = value[i:j]
-                cost += math.log10(rank) + (0 if case.islower() or not case.isalpha() else math.log10(2) if case.isupper() or case[1:].islower() else math.log10(2 ** sum(c.isupper() for c in case)))
-                out.append((i, j, "word", max(cost, math.log10(2))))
-    for i in range(n):
-        if m := DATE.match(value, i):
-            out.append((i, m.end(), "date", math.log10(200 * (366 if m.end() - i > 4 else 1))))
-    for width in (1, 2, 3, 4):
-        i = 0
-        while i + 2 * width <= n:
-            j = i + width
-            while j < n and value[j] == value[j - width]:
-                j += 1
-            times = (j - i) // width
-            if times >= (3 if width == 1 else 2):
-                out.append((i, i + times * width, "repeat", brute_cost(value[i : i + width]) + math.log10(times)))
-                i += (times - 1) * width
-            i += 1
-    i = 0
+def _told(value: str, low: str, plain: str, i: int) -> Iterator[tuple[int, int, str, float]]:
+    """Words and dates that start at i; ``low`` is the value lower-cased, ``plain`` that without look-alikes."""
+    for j in range(i + 3, min(len(value), i + 12) + 1):
+        cost = 0.0
+        rank = RANK.get(low[i:j])
+        if not rank and (rank := RANK.get(plain[i:j])):
+            cost += math.log10(2 * sum(a != b for a, b in zip(low[i:j], plain[i:j])) or 1)
+        if rank:
+            case = value[i:j]
+            cost += math.log10(rank) + (0 if case.islower() or not case.isalpha() else math.log10(2) if case.isupper() or case[1:].islower() else math.log10(2 ** sum(c.isupper() for c in case)))
+            yield i, j, "word", max(cost, math.log10(2))
+    if m := DATE.match(value, i):
+        yield i, m.end(), "date", math.log10(200 * (366 if m.end() - i > 4 else 1))
+
+
+def _repeats(value: str, width: int) -> Iterator[tuple[int, int, str, float]]:
+    i, n = 0, len(value)
+    while i + 2 * width <= n:
+        j = i + width
+        while j < n and value[j] == value[j - width]:
+            j += 1
+        times = (j - i) // width
+        if times >= (3 if width == 1 else 2):
+            yield i, i + times * width, "repeat", brute_cost(value[i : i + width]) + math.log10(times)
+            i += (times - 1) * width
+        i += 1
+
+
+def _walks(value: str, low: str) -> Iterator[tuple[int, int, str, float]]:
+    i, n = 0, len(value)
     while i < n:
         j, turns, way = i + 1, 0, None
         while j < n and (low[j - 1], low[j]) in NEXT:
@@ -98,9 +101,20 @@ def span_costs(value: str) -> list[tuple[int, int, str, float]]:
             turns += way is not None and step != way
             way, j = step, j + 1
         if j - i >= 4:
-            out.append((i, j, "walk", math.log10(len(ROWS) * 10) + math.log10(j - i) + turns * math.log10(4)))
+            yield i, j, "walk", math.log10(len(ROWS) * 10) + math.log10(j - i) + turns * math.log10(4)
         i = max(i + 1, j - 1) if j - i >= 4 else i + 1
-    return out
+
+
+def _runs(value: str, low: str) -> tuple[Iterator[tuple[int, int, str, float]], ...]:
+    """Repeats and keyboard walks, each by start."""
+    return *(_repeats(value, width) for width in (1, 2, 3, 4)), _walks(value, low)
+
+
+def span_costs(value: str) -> list[tuple[int, int, str, float]]:
+    """All spans (start, end, kind, log10 of guesses) that a guesser has a name for."""
+    low = value.lower()
+    plain = low.translate(LEET)
+    return [*(span for i in range(len(value)) for span in _told(value, low, plain, i)), *(span for kind in _runs(value, low) for span in kind)]
 
 
 @lru_cache(maxsize=1 << 14)
@@ -134,13 +148,51 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[int, int, str], ...]]:
     return cost, tuple(reversed(spans))
 
 
+def costs_strong(value: str) -> bool:
+    """Whether ``guess_cost`` of a value is ``STRONG`` or more, in linear time at any length.
+
+    No cost falls as spans are added, so a beginning that costs STRONG is given up: more than 13 spans do by their orders,
+    ten characters by brute force by themselves. Once no beginning is left, the rest of the value isn't looked at.
+    """
+    n, low = len(value), value.lower()
+    plain = low.translate(LEET)
+    runs = heapq.merge(*_runs(value, low), key=lambda span: span[0])
+    ahead = next(runs, None)
+    live: dict[int, dict[tuple[int, bool], float]] = {0: {(0, False): 0.0}}
+    for i in range(n):
+        if not live:
+            return True
+        starting = []
+        while ahead and ahead[0] == i:
+            starting.append((ahead[1], False, ahead[3]))
+            ahead = next(runs, None)
+        if not (states := live.pop(i, None)):
+            continue
+        starting += [(j, False, cost) for _, j, _, cost in _told(value, low, plain, i)]
+        for j in range(i + 1, n + 1):
+            if (cost := brute_cost(value[i:j])) >= STRONG:
+                break
+            starting.append((j, True, cost))
+        for (k, was_brute), total in states.items():
+            orders = math.log10(math.factorial(k + 1))
+            for j, brute, cost in starting:
+                new = total + cost
+                if not (brute and was_brute) and orders + new < STRONG:
+                    found = live.setdefault(j, {})
+                    found[k + 1, brute] = min(new, found.get((k + 1, brute), math.inf))
+    return n not in live
+
+
+_remembered = lru_cache(maxsize=1 << 14)(costs_strong)
+
+
 def _kinds(s: str) -> int:
     return any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s) + any(not c.isalnum() for c in s)
 
 
 def is_strong(value: str) -> bool:
     """Whether a value of a credential context looks like a secret: costly to guess and of several kinds of characters."""
-    return _kinds(value.rstrip(".,:;!?")) >= 2 and any(c.isdigit() for c in value) and guess_cost(value)[0] >= STRONG
+    return _kinds(value.rstrip(".,:;!?")) >= 2 and any(c.isdigit() for c in value) and (_remembered if len(value) <= REMEMBERED else costs_strong)(value)
 
 
 _WORDS_OF = re.compile(r"pass|pwd|secret|token|auth|bearer|credential|key", re.I | re.A)
@@ -162,7 +214,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             k = 1 if m[1] is not None else 2
             a, b = m.span(k)
             b -= len(text[a:b]) - len(text[a:b].rstrip(".,:;!?)"))
-            if b - a >= 6 and not any(x < b and a < y for x, y in covered) and is_strong(text[a:b]):
+            if b - a >= 6 and not any(x <= a and b <= y for x, y in covered) and is_strong(text[a:b]):
                 found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]]))
 
