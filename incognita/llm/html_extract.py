@@ -6,7 +6,7 @@ attributes and the shape of its text; the field's two labels (article or not) ar
 trained here by gradient ascent on the likelihood of labelled pages, which ``labelled_pages`` writes in many layouts.
 
 Edge cases: null html counts as empty; a page without article blocks has empty text; scripts, styles, comments and other
-raw content never are blocks; rows that repeat a page_id are extracted each; an empty table gives an empty result;
+raw content never are blocks; what stands in drawings, formulas, objects and canvases is read as other text is; rows that repeat a page_id are extracted each; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -26,12 +26,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# HTML's block-level, void and raw-text elements, and which open elements an opening tag closes.
+# HTML's block-level, void and raw-text elements, those of other vocabularies, where HTML goes on inside them,
+# their texts that stand by themselves, and which open elements an opening tag closes.
 BLOCK = frozenset(
     "html head body title nav header footer main article section aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend button select option blockquote pre figure figcaption address hr details summary dialog center menu label noscript template".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea iframe noframes noembed xmp svg math canvas object".split())
+RAW = frozenset("script style textarea iframe noframes noembed xmp".split())
+FOREIGN = frozenset("svg math".split())
+HTML_IN = frozenset("foreignobject desc svg-title annotation-xml mi mo mn ms mtext".split())
+LABEL = frozenset("text desc svg-title".split())
 CLOSES = {
     "li": ("li",),
     "dt": ("dt", "dd"),
@@ -46,6 +50,7 @@ IN_P = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside n
 
 _MARKUP = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_UNQUOTED = re.compile(r"""=\s*[^\s"']*/\Z""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -99,6 +104,14 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in scope:
                 return
 
+    def foreign() -> str:
+        for tag, _ in reversed(stack):
+            if tag in FOREIGN:
+                return tag
+            if tag in BLOCK or tag in HTML_IN:
+                break
+        return ""
+
     at, n = 0, len(page)
     while at < n:
         m = _MARKUP.search(page, at)
@@ -114,16 +127,28 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
+            if tag == "title" and any(x[0] == "svg-title" for x in stack):
+                tag = "svg-title"
             if tag in BLOCK:
                 close()
-            if tag == "br":
+            if tag == "br" or (tag in LABEL and any(x[0] == "svg" for x in stack)):
                 parts.append(" ")
             pop(tag)
             continue
+        attributes = m[3] or m[6] or ""
+        outside = foreign()
+        if tag == "title" and outside == "svg":
+            tag = "svg-title"
+        if attributes.endswith("/") and (outside or tag in FOREIGN) and not _UNQUOTED.search(attributes):
+            continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>{f'|(?=</{outside})' if outside else ''}", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if outside and tag in LABEL:
+            parts.append(" ")
+        if outside and tag in BLOCK:
+            pop(outside)
         if tag in BLOCK:
             close()
             if tag in IN_P:
@@ -136,7 +161,7 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             pop("a", SCOPE)
             in_link += 1
-        stack.append((tag, _words(m[3] or m[6] or "")))
+        stack.append((tag, _words(attributes)))
     close()
     return out
 

@@ -55,6 +55,20 @@ def test_blocks_of_untidy_pages():
     assert html_extract.blocks("") == [] and html_extract.blocks("<p></p>") == []
 
 
+def test_drawings_formulas_and_objects_drop_nothing():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    for opened in ('<svg class="icon"/>', "<math/>", '<svg viewBox="0 0 1 1">', "<svg class=icon/>", '<object data="a.swf">', "<canvas>", "<svg><style/><path d='M0'/></svg>", "<svg><style>a{}</svg>", "<math>"):
+        assert texts(f"<article>{opened}<p>one</p>two</article><p>three</p><svg></svg>") == ["one", "two", "three"], opened
+    assert texts("<p>a <object>b</object> <canvas>c</canvas> <math><mi>x</mi><mo>=</mo><mn>2</mn></math> d</p>") == ["a b c x=2 d"]
+    assert texts("<p>a<svg><title>b</title><g><text>c</text><text>d</text></g></svg>e</p>f") == ["a b c d e", "f"]
+    assert texts("<svg><foreignObject><p>a</p><script>b</script></foreignObject></svg><p>c<script>d") == ["a", "c"]
+    assert texts("<script/><p>a</script>b") == ["b"] and texts("<textarea><p>a</textarea>b") == ["b"]
+    story = ["The first of some sentences that make up the story here.", "The second one says that and a little more than that.", "The last one ends what was told, and the page goes on."]
+    for between in ('<svg class="icon"/>', '<object data="x">', "<canvas>", "<math/>"):
+        page = f"<html><body><nav><ul><li><a href='#'>home</a></ul></nav><article><h1>Story</h1>{''.join(f'<p>{s}</p>{between}' for s in story)}</article></body></html>"
+        assert html_extract.main_text(page, html_extract.trained()) == "\n\n".join(["Story", *story])
+
+
 def test_viterbi_finds_the_best_labels():
     draw = random.Random(2)
     field = html_extract.Field({c: draw.uniform(-2, 2) for c in "abcd"}, [[0.4, -0.7], [-0.2, 0.9]])
