@@ -9,8 +9,8 @@ The posterior of a language is the product of
 Suffix shares and host priors come from one grouped aggregation of the text posteriors (sums of probabilities, so the
 counts are whole and add up before they are shuffled).
 
-Trigram likelihoods are fitted on a bounded sample of labelled rows (``train_rows``, drawn by a hash of the id); all
-documents count for priors, and all texts are read whole.
+Trigram likelihoods are fitted on a bounded sample of the rows of each label (``train_rows``, drawn by a hash of id and
+text), so a label's share of the table doesn't matter; all documents count for priors, and all texts are read whole.
 
 A document is rejected if it has no letter or if "other" wins. Edge cases: null text counts as empty and is rejected;
 null or unknown declarations, hosts and ids are no evidence; ties go to the language that sorts first; rows that repeat
@@ -31,7 +31,12 @@ from pyspark.sql import functions as F
 from . import common
 
 TABLE = 1 << 16
+#: Rows of each label that its trigrams are fitted on.
 TRAIN_ROWS = 6000
+#: Trigrams without which a label's sample says too little.
+LEAST_TRIGRAMS = 300
+#: Hashes are drawn in so many steps.
+DRAWS = 1 << 40
 #: Part of a trigram's log-likelihood that counts as independent evidence.
 TEMPER = 0.25
 #: The most that the text alone may say for or against a language, in nats.
@@ -96,33 +101,49 @@ class Model:
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Trigram counts of a sample of about ``train_rows`` rows (id, text, label), added up by language."""
-    rows = labelled.where("label is not null and trim(label) <> '' and text is not null").withColumn("label", F.lower(F.trim("label")))
-    share = min(1.0, train_rows / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("label", "text")
+    """Trigram counts of a sample of about ``train_rows`` rows (id, text, label) of each label, added up by language.
+
+    Rows without a letter aren't drawn, so that a label's sample has text wherever the label has.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.where("label is not null and trim(label) <> ''").where(F.col("text").rlike(r"\p{L}")).select("id", "text", F.lower(F.trim("label")).alias("label"))
+    # A text has at most two trigrams more than bytes.
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 2).alias("most")).where(F.col("most") >= LEAST_TRIGRAMS).collect()
+    labels = sorted(r.label for r in sizes)
+    index = {label: k for k, label in enumerate(labels)}
+    below = spark.createDataFrame([(r.label, index[r.label], int(min(1.0, train_rows / r.n) * DRAWS)) for r in sizes], "label string, k int, below long")
+    sample = rows.join(F.broadcast(below), "label").where(F.pmod(F.xxhash64("id", "text"), F.lit(DRAWS)) < F.col("below")).select("k", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
+
+        def added() -> Iterator[pa.RecordBatch]:
+            for k, c in sums.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["k", "slot", "n"])
+            sums.clear()
+
         for b in batches:
-            by: dict[str, list[str]] = {}
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(label, []).append(text)
-            for label, texts in by.items():
+            by: dict[int, list[str]] = {}
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(k, []).append(text)
+            for k, texts in by.items():
                 for start, end in pieces(texts):
-                    sums[label] = sums.get(label, 0) + np.bincount(trigrams(texts[start:end])[0], minlength=TABLE)
-        for label, c in sums.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at), pa.array(c[at])], ["label", "slot", "n"])
-
-    common.small_batches(labelled.sparkSession)
-    sums = sample.mapInArrow(count, "label string, slot long, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()
-    size = sums.groupby("label")["n"].sum()
-    languages = sorted(size[size >= 300].index)
-    counts = np.zeros((len(languages), TABLE))
-    for k, label in enumerate(languages):
-        own = sums[sums["label"] == label]
-        counts[k, own["slot"].to_numpy()] = own["n"].to_numpy()
-    return Model(languages, counts)
+                    sums[k] = sums.get(k, 0) + np.bincount(trigrams(texts[start:end])[0], minlength=TABLE)
+                if len(sums) >= 100:
+                    yield from added()
+        yield from added()
+
+    common.small_batches(spark)
+    sums = sample.mapInArrow(count, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
+    k, slot, n = (sums[name].to_numpy() for name in ("k", "slot", "n"))
+    enough = np.flatnonzero(np.bincount(k, n, minlength=len(labels)) >= LEAST_TRIGRAMS)
+    counts = np.zeros((len(enough), TABLE))
+    at = np.full(len(labels) + 1, -1)
+    at[enough] = np.arange(len(enough))
+    held = at[k] >= 0
+    counts[at[k[held]], slot[held]] = n[held]
+    return Model([labels[x] for x in enough], counts)
 
 
 def host_of(url: Column) -> Column:

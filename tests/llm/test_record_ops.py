@@ -37,6 +37,18 @@ def test_declarations_and_hosts_tell_short_texts(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def test_rare_labels_are_fitted(spark):
+    rows = [(i, "the and of that with this thing", "en", "a.org", 0) for i in range(2000)] + [(3000 + i, "und der die das mit sich nicht", "de", "b.org", 0) for i in range(2000)]
+    rows += [(6000 + i, "12 34", "ru", "c.org", 0) for i in range(400)] + [(7000 + i, f"это что {i} как она они когда после только человек", "Ru ", "c.org", 0) for i in range(8)]
+    rows += [(8000, "ไทย", "th", "d.org", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language_id.fit(docs.select(docs.doc_id.alias("id"), "text", docs.lang.alias("label")), 40)
+    assert model.languages == ["de", "en", "ru", "other"]
+    found = {r.id: (r.language, r.kept) for r in language_id.of_documents(docs, 40).collect()}
+    assert all(found[7000 + i] == ("ru", True) for i in range(8)) and found[0] == ("en", True) and not found[6000][1]
+    assert {7000 + i for i in range(8)} <= {r.doc_id for r in language_id.clean(docs, 40).collect()}
+
+
 def test_no_labels_and_page_evidence(spark):
     df = spark.createDataFrame([(1, "abc", None, None)], "id long, text string, declared string, host string")
     model = language_id.fit(df.select("id", "text", df.declared.alias("label")))
