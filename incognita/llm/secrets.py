@@ -4,7 +4,7 @@ The base patterns (assignments, access keys, long hexadecimal runs) are reported
 further credential contexts (a wider list of key words, an optional verb, quoted or bare values of any length) are
 segmented by dynamic programming into common words, dates, repeats, keyboard walks and brute-force spans, so that the
 product of the spans' guess counts, times the orders of as many spans, is least. A value that costs ``STRONG`` guesses or more and mixes kinds
-of characters is a secret as well; prose after a colon isn't.
+of characters is a secret as well; prose after a colon isn't: in values without digits, words cost nothing.
 
 Edge cases: null text counts as empty and has no spans; texts are scanned whole; overlapping spans of different kinds are
 all reported, save values that a base span holds whole; rows that repeat a doc_id are scanned each; an empty table gives
@@ -34,7 +34,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth|bearer|credential|(?:api|access|private|secret|client|signing)[_-]?(?:key|secret|token))s?["']?(?:\x20*[:=]\x20*|\x20+(?:is|was)\x20+)(?:["']([^"'\s]{6,})["']|([^\s"',;<>]{6,}))""",
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth|bearer|credential|(?:api|access|private|secret|client|signing)[_-]?(?:key|secret|token))s?["']?(?:\x20*[:=]\x20*|\x20+(?:is|was)\x20+)(?:["']([^"'\s]{6,})["']|([^\s"',;<>]{6,}))""",
     re.I | re.A,
 )
 #: log10 of the guesses from which a value counts as a secret.
@@ -190,9 +190,41 @@ def _kinds(s: str) -> int:
     return any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s) + any(not c.isalnum() for c in s)
 
 
+# Pieces of identifiers and prose by their case, vowels, and signs that go between words.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\x00-\x7f]+|[^A-Za-z\x80-\U0010ffff]+")
+_VOWEL = re.compile(r"[aeiouy]", re.I)
+SIGNS = "-_./:,;?=&()@[]{}|+*'\"`\\"
+
+
+def _unread(value: str) -> str:
+    """A value without digits, less what reads as prose: words, short words that stand alone, and signs beside them."""
+    pieces = ["", *_PIECE.findall(value), ""]
+    letters = [p[:1].isalpha() for p in pieces]
+    read = [False] * len(pieces)
+    for k, p in enumerate(pieces):
+        if letters[k]:
+            alone = not letters[k - 1] and not letters[k + 1]
+            read[k] = not p.isascii() or (alone and len(p) <= 5) or (len(p) >= 3 and (alone or not p.isupper()) and bool(_VOWEL.search(p)))
+    out = []
+    for k in range(1, len(pieces) - 1):
+        if not letters[k]:
+            p = pieces[k].lstrip(SIGNS) if read[k - 1] else pieces[k]
+            out.append(p.rstrip(SIGNS) if read[k + 1] else p)
+        elif not read[k]:
+            out.append(pieces[k])
+    return "".join(out)
+
+
 def is_strong(value: str) -> bool:
-    """Whether a value of a credential context looks like a secret: costly to guess and of several kinds of characters."""
-    return _kinds(value.rstrip(".,:;!?")) >= 2 and any(c.isdigit() for c in value) and (_remembered if len(value) <= REMEMBERED else costs_strong)(value)
+    """Whether a value of a credential context looks like a secret: costly to guess and of several kinds of characters.
+
+    Of a value without digits, what reads as prose costs nothing, since the list of words is short.
+    """
+    if _kinds(value.rstrip(".,:;!?")) < 2:
+        return False
+    if not any(c.isdigit() for c in value):
+        value = _unread(value)
+    return (_remembered if len(value) <= REMEMBERED else costs_strong)(value)
 
 
 _WORDS_OF = re.compile(r"pass|pwd|secret|token|auth|bearer|credential|key", re.I | re.A)

@@ -253,6 +253,17 @@ def test_values_of_credential_contexts():
         assert not [s for s in secrets.scan(clean) if s[0] == "guess"], clean
 
 
+def test_digitless_values_and_prefixed_keys():
+    for before in ("pwd: ", "DB_PASS=", "MYSQL_PWD=", "AWS_SECRET_ACCESS_KEY=", "dbPass=", "bearer: "):
+        for value in ("kTqZ!vRx#LmWpYs", "xK9mQ2vLp4Zr", "kTqZvRxLmWpYsQdGhBn"):
+            assert secrets.redacted(before + value) == f"{before}[guess]", (before, value)
+    prose = "Authentication required, getUserToken /usr/lib/ssl/certs https://example.com/path?x=y Basic/Digest self-service (see-below) Größe-Länge state_of_the_art USER_NAME don't".split()
+    for value in prose:
+        assert not secrets.scan(f"auth: {value} for all"), value
+    assert secrets.redacted('export APP_AUTH="kTqZ!vRx#LmWpYs"') == 'export APP_AUTH="[guess]"'
+    assert not secrets.scan("compass: kTqZ!vRx#LmWpYs trespass=kTqZ!vRx#LmWpYs")
+
+
 def test_long_values_are_whole():
     draw = random.Random(12)
     for n in (129, 300, 5000, 100000):
