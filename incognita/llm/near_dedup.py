@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .common import mix
@@ -211,6 +212,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Sets are distinct shingles of ``width`` words (A-Z as a-z); a link has 100 * intersection >= percent * union,
     confirmed on full sets. ``kept`` marks the smallest doc_id of each component.
     """
+    return _judged(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The columns of ``near_duplicates`` with the node of each row's set and the root of its component, null without words."""
     threshold = percent / 100
     bands = bands_for(threshold)
     k = bands * ROWS
@@ -250,11 +256,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     named = classes.select("node", "doc_id").join(comp, "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    named = named.join(smallest, "component").select("node", "smallest")
-    own = classes.select("node", F.col("doc_id").alias("first")).join(named, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id"))
+    named = named.join(smallest, "component").select("node", "component", "smallest")
+    own = classes.select("node", F.col("doc_id").alias("first")).join(named, "node", "left").select("node", F.coalesce("component", "node").alias("root"), F.coalesce("smallest", "first").alias("component_id"))
     found = all_docs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(own, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "node", "root")
 
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -273,12 +279,35 @@ def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width
     return common.cut(x.where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent).select("a", "b"), "confirmed")
 
 
+def _with_identity(docs: DataFrame, width: int) -> DataFrame:
+    """The rows with their doc_id as __id and the node of their sets as __node, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, sizes = _sets(b.column(b.schema.get_field_index("text")), width)
+            keys = [pa.array(k.view(np.int64), mask=sizes == 0) for k in _identity(values, sizes)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *keys], [*b.schema.names, "__k1", "__k2"])
+
+    common.small_batches(docs.sparkSession)
+    schema = StructType([*docs.schema.fields, StructField("__k1", LongType()), StructField("__k2", LongType())])
+    node = F.when(F.col("__k1").isNotNull(), F.xxhash64("__k1", "__k2"))
+    return docs.mapInArrow(run, schema).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__node", node)
+
+
 def clean(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class of near duplicates, and of rows that repeat a doc_id; rows without a doc_id stay."""
-    found = common.cut(near_duplicates(docs, width, percent).where("doc_id is not null"), "near")
+    """One document of each class of near duplicates; rows without a doc_id stay.
+
+    Rows that repeat a doc_id are told apart by their sets: one stays of those linked to each other, those linked with
+    a smaller doc_id go, and texts without words count as equal.
+    """
+    found = common.cut(_judged(docs, width, percent).where("doc_id is not null").select("doc_id", "kept", "node", "root"), "near")
     ids = found.groupBy("doc_id").agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
-    ids = common.cut(ids.where("not __kept or __rows > 1").select(F.col("doc_id").alias("__id"), "__kept"), "dropped")
+    ids = common.cut(ids.where("not __kept or __rows > 1").select(F.col("doc_id").alias("__id"), "__kept", "__rows"), "dropped")
     same = F.col("doc_id").cast("long") == F.col("__id")
     rest = docs.join(ids, same, "left_anti")
-    repeated = docs.join(ids.where("__kept"), same, "left_semi").dropDuplicates(["doc_id"])
-    return rest.union(repeated).select(*docs.columns)
+    several = ids.where("__kept and __rows > 1")
+    chosen = found.where("kept").join(several.select(F.col("__id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("node").alias("node"))
+    chosen = chosen.select(F.col("doc_id").alias("__of"), F.col("node").alias("__at"))
+    repeated = _with_identity(docs.join(several, same, "left_semi"), width).dropDuplicates(["__id", "__node"])
+    repeated = repeated.join(chosen, (F.col("__id") == F.col("__of")) & F.col("__node").eqNullSafe(F.col("__at")), "left_semi")
+    return rest.union(repeated.select(*docs.columns)).select(*docs.columns)

@@ -73,6 +73,15 @@ def test_near_duplicates_edge_rows(spark):
     assert near_dedup.near_duplicates(docs_of(spark, []), 3, 85).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a + " more"), (1, b), (1, b), (1, ""), (1, None), (5, b + " more"), (0, c), (2, c), (2, d), (3, c), (3, c), (None, a)]
+    kept = sorted(map(tuple, near_dedup.clean(docs_of(spark, rows).repartition(3)).select("doc_id", "text").collect()), key=str)
+    ones = [t for i, t in kept if i == 1]
+    assert len(ones) == 3 and b in ones and len({a, a + " more"} & set(ones)) == 1 and len({"", None} & set(ones)) == 1
+    assert [x for x in kept if x[0] != 1] == sorted([(0, c), (2, d), (None, a)], key=str)
+
+
 def test_filters_leave_clashing_columns_alone(spark):
     rows = [(1, "the and of that with this", "en", "s", 5, "a", True, 7), (1, "the and of that with this", "en", "s", 5, "a", True, 7), (2, "the and of that with this", "en", "s", 5, "b", None, 8), (3, "12", "en", "s", 5, None, False, None), (None, None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, kept boolean, rejected long")
