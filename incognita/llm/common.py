@@ -96,15 +96,15 @@ class _Powers:
         return cls.up, cls.down
 
 
-def word_hashes(texts: list[str | None], bytes_at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | bytes | None], bytes_at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, in order, and the number of words of each text.
 
-    A-Z count as a-z; words are maximal runs without space, tab, LF, VT, FF and CR. Null counts as empty.
+    A-Z count as a-z; words are maximal runs without space, tab, LF, VT, FF and CR. Null counts as empty; bytes are UTF-8.
     The texts are joined with line ends and hashed as a whole, in pieces of about ``bytes_at_once``.
     """
     hashes, counts, piece, size = [], [], [], 0
     for t in texts:
-        b = (t or "").encode("utf-8", "surrogatepass").lower()
+        b = (t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")).lower()
         piece.append(b)
         size += len(b) + 1
         if size >= bytes_at_once:

@@ -107,29 +107,75 @@ def test_estimates_follow_the_similarity():
         assert abs((e - 1 / 16) / (15 / 16) - true) < 0.07
 
 
-def test_scores_equal_a_plain_model(spark, corpus):
-    rows = [*corpus[:60], (1000, None), (1001, ""), (1002, "the the unseenword")]
-    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, bi = collections.Counter(), collections.Counter()
-    for _, t in train:
-        w = [*words(t), "</s>"]
-        uni.update(w)
-        bi.update(zip(["<s>", *w], w))
+def plain_model(rows):
+    """(base, model) scores by id, from dictionaries of counts."""
+    counts = collections.Counter()
+    sequence = lambda t: ["<s>", *words(t), "</s>"]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            s = sequence(t)
+            counts["<s>",] += 1
+            counts.update(tuple(s[k - n + 1 : k + 1]) for k in range(1, len(s)) for n in range(1, min(k + 1, lm_score.ORDER) + 1))
+    uni = {g[0]: c for g, c in counts.items() if len(g) == 1 and g[0] != "<s>"}
     n, v, once = sum(uni.values()), len(uni), sum(1 for c in uni.values() if c == 1)
     u0 = (once + 1) / (n + once + 1)
+
+    def chance(history, w):
+        if not history:
+            return (1 - u0) * uni[w] / n if w in uni else u0
+        shorter, c = chance(history[1:], w), counts[history]
+        if not c:
+            return shorter
+        b = lm_score.DISCOUNT / c ** lm_score.FADE[len(history) + 1]
+        return (1 - b) * counts[(*history, w)] / c + b * shorter
+
+    out = {}
+    for i, t in rows:
+        s = sequence(t)
+        base = sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in s[1:])
+        score = sum(math.log10(chance(tuple(s[max(0, k - lm_score.ORDER + 1) : k]), s[k])) for k in range(1, len(s)))
+        out[i] = (zlib.crc32(str(i).encode()) % 7 == 2, len(s) - 1, sum(w in uni for w in s[1:]), n, base, score)
+    return out
+
+
+@pytest.mark.parametrize("block_bytes,fan", [(6 << 20, 256), (20_000, 256), (6_000, 3)])
+def test_scores_equal_a_plain_model(spark, corpus, monkeypatch, block_bytes, fan):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    rows = [*corpus[:60], (1000, None), (1001, ""), (1002, "the the unseenword"), (1003, corpus[3][1]), (1004, corpus[4][1] + " end"), (1005, "a b " * 3000), (1006, "x a b " * 20)]
     found = {r.doc_id: r for r in lm_score.score(docs_of(spark, rows)).collect()}
     assert len(found) == len(rows)
-    for i, t in rows:
-        w, r, base, total, before = [*words(t), "</s>"], found[i], 0.0, 0.0, "<s>"
-        for x in w:
-            base += math.log10((uni[x] + 1) / (n + v + 1))
-            p = (1 - u0) * uni[x] / n if uni[x] else u0
-            c = uni["</s>"] if before == "<s>" else uni[before]
-            total += math.log10((bi[before, x] + lm_score.MU * p) / (c + lm_score.MU)) if c else math.log10(p)
-            before = x
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(uni[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, total, rel_tol=1e-9)
+    for i, (*facts, base, total) in plain_model(rows).items():
+        r = found[i]
+        assert [r.held_out, r.n_tokens, r.n_known, r.train_tokens] == facts
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, total, rel_tol=1e-9), i
+
+
+def test_scores_of_edge_tables(spark):
     assert lm_score.score(docs_of(spark, [])).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    one = lm_score.score(docs_of(spark, [(held, "a b")])).first()
+    assert (one.train_tokens, one.n_known, one.n_tokens) == (0, 0, 3) and one.score == 0.0
+    same = lm_score.score(docs_of(spark, [(None, "a b"), (None, "a b"), (5, "a b"), (5, "a b"), (5, None)])).collect()
+    assert len(same) == 5 and len({r.score for r in same if r.n_tokens == 3}) == 1
+
+
+def test_messages_are_read_back():
+    import numpy as np
+
+    arrays = [np.array([], np.int64), np.array([0, 1, 255, 256]), np.array([2**64 - 1, 3], np.uint64), np.array([True, False])]
+    assert [a.tolist() for a in lm_score._read(lm_score._written(arrays))] == [[int(x) for x in a] for a in arrays]
+    for blocks, levels in ((1, 1), (256, 1), (257, 2), (65536, 2), (65537, 3)):
+        tree = lm_score.Tree(blocks, 256)
+        assert tree.levels == levels and tree.fan <= lm_score.FAN and tree.fan**levels >= blocks // 2
+
+
+def test_the_model_tells_documents_that_occur_twice(spark):
+    df = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not held_out")
+    times = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "count(*) over (partition by text) as times")
+    r = df.join(times, "doc_id").selectExpr("times > 1 as twice", "score / n_tokens as s").collect()
+    once, twice = sorted(x.s for x in r if not x.twice), [x.s for x in r if x.twice]
+    assert sum(s > once[int(0.9 * len(once))] for s in twice) >= 0.5 * len(twice)
 
 
 def test_the_model_beats_the_base_on_held_out_documents(spark):
