@@ -6,14 +6,23 @@ import atexit
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: a batch of long documents still fits a Python worker.
-ARROW_ROWS = 1000
+#: Text of an Arrow batch that the Python operators take at once, in bytes, so that long documents fit a worker.
+PIECE_BYTES = 1 << 20
+#: What Spark hands to a Python worker at once while a table is written.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+#: A key with more than one in HOT of a join's rows is joined apart; there are fewer than HOT of them.
+HOT = 1000
+#: Rows that a key must have to be joined apart; fewer are no load for a task.
+HOT_ROWS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +30,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds for the Python operators planned next."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def slices(batch: pa.RecordBatch, column: int | str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts or binaries in a column have about ``size`` bytes; a row is never cut."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (tests, a single machine) a folder of this process takes its place, and goes with it.
+    Only where that is unset and all runs on one machine (tests) a folder of this process takes its place; on a cluster
+    it must be set, since no folder of a machine would do.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
 
 
 @lru_cache(maxsize=1)
@@ -41,12 +60,63 @@ def _own_folder() -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and rereads it: later jobs, and retries after lost executors, start there."""
+    """Writes ``df`` to the shared folder and rereads it: later jobs, and retries after lost executors, start there.
+
+    The table goes when the application ends, or with ``drop`` once nothing reads it any more.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, label)
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH[0], before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` returned; no plan may read them afterwards."""
+    for t in tables:
+        where, system = _file_system(t.sparkSession, t._written_to)
+        system.delete(where, True)
+
+
+def often(rows: Column, total: int) -> Column:
+    """Whether a key with so many rows of all is joined apart."""
+    return (rows * HOT > total) & (rows >= HOT_ROWS)
+
+
+def unskewed(many: DataFrame, one: DataFrame, key: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has one row for each key and in column ``rows`` how many of the ``total`` rows of
+    ``many`` have it.
+
+    The rows of keys with more than one in HOT of them would meet in a task. These keys, fewer than HOT as their rows add
+    up to ``total`` at most, are broadcast if there are any; the others are dealt by key. Keys that ``one`` lacks must have
+    few rows. ``one`` is looked through for such keys at once, so it should be a table.
+    """
+    is_hot = often(F.col(rows), total)
+    hot = one.where(is_hot)
+    if hot.isEmpty():
+        return many.join(one, key, how)
+    rest = many.join(F.broadcast(hot.select(*key)), key, "left_anti").join(one.where(~is_hot), key, how)
+    return rest.unionByName(many.join(F.broadcast(hot), key, "left_semi" if how == "left_semi" else "inner"))
 
 
 def partitions_for(spark: SparkSession) -> int:
@@ -96,7 +166,7 @@ class _Powers:
         return cls.up, cls.down
 
 
-def word_hashes(texts: list[str | bytes | None], bytes_at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | bytes | None], bytes_at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, in order, and the number of words of each text.
 
     A-Z count as a-z; words are maximal runs without space, tab, LF, VT, FF and CR. Null counts as empty; bytes are UTF-8.

@@ -7,14 +7,15 @@ The posterior of a language is the product of
 - the address suffix, through the shares of languages seen under it;
 - the prior of the host, smoothed towards its registered domain, that towards the suffix and that towards all documents.
 Suffix shares and host priors come from one grouped aggregation of the text posteriors (sums of probabilities, so the
-counts are whole and add up before they are shuffled).
+counts are whole and add up before they are shuffled). A registered domain has two labels, or three where a short label
+such as "co" stands before a country's. Hosts with many rows are joined apart, rows without a host not at all.
 
 Trigram likelihoods are fitted on a bounded sample of the rows of each label (``train_rows``, drawn by a hash of id and
 text), so a label's share of the table doesn't matter; all documents count for priors, and all texts are read whole.
 
 A document is rejected if it has no letter or if "other" wins. Edge cases: null text counts as empty and is rejected;
-null or unknown declarations, hosts and ids are no evidence; ties go to the language that sorts first; rows that repeat
-an id are judged each; without labelled rows everything with a letter is kept as "other"; an empty table gives an
+null or unknown declarations, hosts and ids are no evidence; declarations count by their primary subtag ("en" of "en-US");
+ties go to the language that sorts first; rows that repeat an id are judged each; without labelled rows everything with a letter is kept as "other"; an empty table gives an
 empty result; further columns, such as clashing names, are left alone.
 """
 
@@ -66,18 +67,6 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return slot, np.diff(edges)
 
 
-def pieces(texts: list[str | None], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Stretches (from, to) of the texts with about ``size`` characters each, so that a batch of long texts takes no more memory."""
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t or "") + 2
-        if held >= size:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 class Model:
     """Log-likelihoods of trigrams, one row a slot and one column a language; the last column is "other"."""
 
@@ -89,24 +78,29 @@ class Model:
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """Tempered log-likelihood of each text in each language, relative to the best."""
         out = np.zeros((len(texts), len(self.languages)))
-        for start, end in pieces(texts):
-            slot, n = trigrams(texts[start:end])
-            some = n > 0
-            if some.any():
-                starts = np.concatenate([[0], np.cumsum(n)])[:-1][some]
-                for k in range(len(self.languages)):
-                    out[start:end][some, k] = np.add.reduceat(self.table[slot, k], starts, dtype=np.float64)
+        slot, n = trigrams(texts)
+        some = n > 0
+        if some.any():
+            starts = np.concatenate([[0], np.cumsum(n)])[:-1][some]
+            for k in range(len(self.languages)):
+                out[some, k] = np.add.reduceat(self.table[slot, k], starts, dtype=np.float64)
         out *= TEMPER
         return np.maximum(out - out.max(axis=1, keepdims=True), -CERTAIN)
 
 
+def primary(declared: Column) -> Column:
+    """The primary subtag of a declared language, lower-cased; what is no tag stays as it is, trimmed."""
+    low = F.lower(F.trim(declared))
+    return F.coalesce(F.nullif(F.regexp_extract(low, r"^([a-z]{2,3})[-_]", 1), F.lit("")), low)
+
+
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Trigram counts of a sample of about ``train_rows`` rows (id, text, label) of each label, added up by language.
 
     Rows without a letter aren't drawn, so that a label's sample has text wherever the label has.
     """
     spark = labelled.sparkSession
-    rows = labelled.where("label is not null and trim(label) <> ''").where(F.col("text").rlike(r"\p{L}")).select("id", "text", F.lower(F.trim("label")).alias("label"))
+    rows = labelled.where("label is not null and trim(label) <> ''").where(F.col("text").rlike(r"\p{L}")).select("id", "text", primary(F.col("label")).alias("label"))
     # A text has at most two trigrams more than bytes.
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 2).alias("most")).where(F.col("most") >= LEAST_TRIGRAMS).collect()
     labels = sorted(r.label for r in sizes)
@@ -123,18 +117,17 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["k", "slot", "n"])
             sums.clear()
 
-        for b in batches:
-            by: dict[int, list[str]] = {}
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(k, []).append(text)
-            for k, texts in by.items():
-                for start, end in pieces(texts):
-                    sums[k] = sums.get(k, 0) + np.bincount(trigrams(texts[start:end])[0], minlength=TABLE)
-                if len(sums) >= 100:
-                    yield from added()
+        for whole in batches:
+            for b in common.slices(whole, 1):
+                by: dict[int, list[str]] = {}
+                for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    by.setdefault(k, []).append(text)
+                for k, texts in by.items():
+                    sums[k] = sums.get(k, 0) + np.bincount(trigrams(texts)[0], minlength=TABLE)
+                    if len(sums) >= 100:
+                        yield from added()
         yield from added()
 
-    common.small_batches(spark)
     sums = sample.mapInArrow(count, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
     k, slot, n = (sums[name].to_numpy() for name in ("k", "slot", "n"))
     enough = np.flatnonzero(np.bincount(k, n, minlength=len(labels)) >= LEAST_TRIGRAMS)
@@ -172,38 +165,43 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     letter = re.compile(r"[^\W\d_]")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            e = model.evidence(texts)
-            has = [bool(letter.search(t or "")) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(c for name, c in zip(b.schema.names, b.columns) if name != "text"), pa.array(has, pa.bool_()), *(pa.array(e[:, k]) for k in range(len(names)))], [*(x for x in b.schema.names if x != "text"), "has_letter", *names])
-
-    spark = rows.sparkSession
-    common.small_batches(spark)
-    head = rows.select("id", F.lower(F.trim("declared")).alias("declared"), F.lower("host").alias("host"), "text")
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                texts = b.column("text").to_pylist()
+                e = model.evidence(texts)
+                has = [bool(letter.search(t or "")) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(c for name, c in zip(b.schema.names, b.columns) if name != "text"), pa.array(has, pa.bool_()), *(pa.array(e[:, k]) for k in range(len(names)))], [*(x for x in b.schema.names if x != "text"), "has_letter", *names])
+
+    head = rows.select("id", primary(F.col("declared")).alias("declared"), F.lower("host").alias("host"), "text")
     kinds = ", ".join(["id long, declared string, host string, has_letter boolean", *(f"{n} double" for n in names)])
     scored = common.cut(head.withColumn("id", F.col("id").cast("long")).mapInArrow(score, kinds), "evidence")
 
     total = sum((F.exp(n) for n in names[1:]), F.exp(names[0]))
-    shares = scored.where("has_letter and host is not null").groupBy("host").agg(*(F.sum(F.exp(n) / total).alias(n) for n in names))
+    share = lambda n: F.sum(F.when(F.col("has_letter"), F.exp(n) / total).otherwise(0.0)).alias(n)
+    shares = scored.where("host is not null").groupBy("host").agg(*(share(n) for n in names), F.count("*").alias("rows"))
     labels = F.split("host", r"\.")
-    shares = shares.withColumn("domain", F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host"))).withColumn("suffix", F.element_at(labels, -1))
-    shares = common.cut(shares, "hosts")
+    suffix, second = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
+    parts = F.when((F.length(suffix) == 2) & (F.length(second) <= 3), 3).otherwise(2)
+    domain = F.array_join(F.slice(labels, -F.least(parts, F.size(labels)), F.size(labels)), ".")
+    shares = common.cut(shares.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
+    hosts, placed, *sums = shares.agg(F.count("*"), F.sum("rows"), *(F.sum(n) for n in names)).first()
 
     def smoothed(own: list[Column], parent: list[Column]) -> list[Column]:
         n = sum(own[1:], own[0])
         return [(o + WEIGHT * p) / (n + WEIGHT) for o, p in zip(own, parent)]
 
-    everything = shares.agg(*(F.sum(n).alias(n) for n in names)).first()
-    overall = sum(x or 0.0 for x in everything)
+    overall = sum(x or 0.0 for x in sums)
     flat = 1 / len(names)
-    whole = [((x or 0.0) + WEIGHT * flat) / (overall + WEIGHT) for x in everything]
-    level = lambda key, prefix: shares.groupBy(key).agg(*(F.sum(n).alias(f"{prefix}{n}") for n in names))
-    hosts = shares.join(level("suffix", "s"), "suffix").join(level("domain", "d"), "domain")
+    whole = [((x or 0.0) + WEIGHT * flat) / (overall + WEIGHT) for x in sums]
+    level = lambda key, prefix: shares.groupBy(key).agg(*(F.sum(n).alias(f"{prefix}{n}") for n in names), F.count("*").alias(f"of_{key}"))
+    wide = common.unskewed(shares, level("suffix", "s"), ["suffix"], "of_suffix", hosts)
+    wide = common.unskewed(wide, level("domain", "d"), ["domain"], "of_domain", hosts)
     of_suffix = smoothed([F.col(f"s{n}") for n in names], [F.lit(w) for w in whole])
     of_domain = smoothed([F.col(f"d{n}") for n in names], of_suffix)
     of_host = smoothed([F.col(n) for n in names], of_domain)
-    priors = hosts.select("host", *(F.log(h).alias(f"h{n}") for h, n in zip(of_host, names)), *(F.log(s / w).alias(f"t{n}") for s, w, n in zip(of_suffix, whole, names)))
+    priors = wide.select("host", "rows", *(F.log(h).alias(f"h{n}") for h, n in zip(of_host, names)), *(F.log(s / w).alias(f"t{n}") for s, w, n in zip(of_suffix, whole, names)))
+    priors = common.cut(priors, "priors")
+    common.drop(shares)
 
     known = F.col("declared").isin(languages[:-1])
     others = max(1, len(names) - 2)
@@ -212,7 +210,8 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
         said = F.when(known, F.when(F.col("declared") == languages[k], float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / others)))).otherwise(0.0) if languages[k] != OTHER else F.when(known, float(np.log(1 / max(1, len(names) - 1)))).otherwise(0.0)
         return F.col(names[k]) + said + F.coalesce(f"h{names[k]}", F.lit(float(np.log(whole[k])))) + F.coalesce(f"t{names[k]}", F.lit(0.0)) * 0.5
 
-    joined = scored.join(priors, "host", "left")
+    hosted = common.unskewed(scored.where("host is not null"), priors, ["host"], "rows", placed or 0)
+    joined = hosted.unionByName(scored.where("host is null"), allowMissingColumns=True)
     scores = joined.select("id", "has_letter", *(log_posterior(k).alias(f"q{k}") for k in range(len(names))))
     q = [F.col(f"q{k}") for k in range(len(names))]
     best = F.greatest(*q, F.lit(-1e300))
@@ -240,7 +239,10 @@ def of_pages(pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def clean(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents that aren't rejected; rows are told apart by doc_id and text."""
+    """The documents that aren't rejected; rows are told apart by doc_id and text, and stay if one of them is kept."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    rejected = _documents(docs, key, train_rows).where("not kept").select(F.col("id").alias("__rejected")).distinct()
-    return docs.join(rejected, key == F.col("__rejected"), "left_anti").select(*docs.columns)
+    verdicts = _documents(docs, key, train_rows).groupBy(F.col("id").alias("__key")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    total = docs.count()
+    told = common.cut(verdicts.where(~F.col("__kept") | common.often(F.col("__rows"), total)), "rejected")
+    marked = common.unskewed(docs.withColumn("__key", key), told, ["__key"], "__rows", total, "left")
+    return marked.where("__kept is null or __kept").select(*docs.columns)

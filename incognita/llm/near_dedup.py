@@ -4,11 +4,16 @@ The sets of equal documents collapse into classes first. For each class, minima
 bands; a band's hash is a bucket. Of every minimum four low bits are kept and packed into 64-bit words, so that bit
 counts give a collision-corrected estimate of the similarity of two documents without their texts.
 
-Candidates never grow with the square of a bucket: each bucket has a hub of its own and its members are held against
-hubs only. The best-looking of these pairs are confirmed on full sets and the links contracted to components. Only
-buckets that still span several components are gone through again: pairs across components are estimated there by longer
-signatures, whose errors are small, once in the first band they share; those that stay near the threshold are confirmed
-on full sets, which makes the result whole.
+Candidates don't grow with the square of a bucket: each bucket has a hub of its own and its members are held against hubs
+only. The best-looking of these pairs are confirmed on full sets and the links contracted to components. Buckets that still
+span several components are gone through in rounds: one representative of each component is held against that of another,
+by longer signatures, whose errors are small, then by full sets; links are contracted and the buckets looked at again.
+Once a round finds no link (or after ``ROUNDS``), what is left in buckets of several components is similar but mostly not
+linked; these members are held against each other by their signatures, a bucket's pairs spread over cells of bounded size,
+and pairs near the threshold are confirmed on full sets, which makes the result whole.
+
+Hot keys never meet in a task: joins on buckets, hubs, components and sets treat keys with many rows apart (see
+``common.unskewed``) or deal their rows over several copies of the other side.
 
 Edge cases: null or empty text and text without words have no shingles, link with nothing and are kept; rows that
 repeat a doc_id are judged by their own texts; rows without a doc_id take no part and come back with a null component,
@@ -18,7 +23,7 @@ kept; further columns of the input are ignored; an empty table gives an empty re
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +44,14 @@ SHARP = 1024
 MISS = 1e-6
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 MARGIN = 4.0
-#: Pairs of a document that the first round confirms; the second round sees all that remain.
+#: Pairs of a document that are confirmed first; the rounds see all that remain.
 FIRST = 4
+#: Rounds of representatives before all members left are compared.
+ROUNDS = 2
+#: Members of a bucket that make a cell when they are compared with each other.
+CELL = 256
+#: Links that a task handles when components are sought.
+LINKS_A_TASK = 1 << 20
 
 
 def bands_for(threshold: float) -> int:
@@ -116,49 +127,61 @@ def sketches(docs: DataFrame, width: int, bands: int) -> DataFrame:
     k = bands * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, sizes = _sets(b.column(1), width)
-            k1, k2 = _identity(values, sizes)
-            some = sizes > 0
-            n = len(sizes)
-            keys, sig = np.zeros((n, bands), np.uint64), np.zeros((n, -(-k * BITS // 64)), np.uint64)
-            if some.any():
-                m = minima(values, sizes[some], k)
-                keys[some], sig[some] = band_keys(m, bands), pack(m, BITS)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(keys, n), _lists(sig, n)],
-                ["doc_id", "n", "k1", "k2", "bands", "sig"],
-            )
-
-    common.small_batches(docs.sparkSession)
+        for whole in batches:
+            for b in common.slices(whole, 1):
+                values, sizes = _sets(b.column(1), width)
+                k1, k2 = _identity(values, sizes)
+                some = sizes > 0
+                n = len(sizes)
+                keys, sig = np.zeros((n, bands), np.uint64), np.zeros((n, -(-k * BITS // 64)), np.uint64)
+                if some.any():
+                    m = minima(values, sizes[some], k)
+                    keys[some], sig[some] = band_keys(m, bands), pack(m, BITS)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(keys, n), _lists(sig, n)],
+                    ["doc_id", "n", "k1", "k2", "bands", "sig"],
+                )
+
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """k1, k2 and the whole set of shingle hashes of every document."""
+def _of_classes(docs: DataFrame, classes: DataFrame, width: int, describe: Callable[[np.ndarray, np.ndarray], pa.ListArray], name: str) -> DataFrame:
+    """node and an array that ``describe`` makes of the sets (values, sizes), for classes (doc_id, node, k1, k2).
+
+    Of rows that repeat a doc_id, those with the class's set count, once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, sizes = _sets(b.column(0), width)
-            k1, k2 = _identity(values, sizes)
-            at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            members = pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), members], ["k1", "k2", "members"])
+        for whole in batches:
+            for b in common.slices(whole, 0):
+                values, sizes = _sets(b.column(0), width)
+                k1, k2 = _identity(values, sizes)
+                own = (k1.view(np.int64) == b.column(2).to_numpy()) & (k2.view(np.int64) == b.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(1), describe(values, sizes)], ["node", name]).filter(pa.array(own))
 
-    return docs.select("text").mapInArrow(run, "k1 long, k2 long, members array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes.select("doc_id", "node", "k1", "k2"), "doc_id")
+    return texts.select("text", "node", "k1", "k2").mapInArrow(run, f"node long, {name} array<long>").dropDuplicates(["node"])
 
 
-def sharper(docs: DataFrame, width: int) -> DataFrame:
-    """k1, k2 and the sharper signature of every document that has shingles."""
+def full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """node and the whole set of shingle hashes (members) of classes."""
+
+    def whole(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+    return _of_classes(docs, classes, width, whole, "members")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, sizes = _sets(b.column(0), width)
-            k1, k2 = (x[sizes > 0] for x in _identity(values, sizes))
-            sharp = pack(minima(values, sizes[sizes > 0], SHARP), SHARP_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(sharp, len(k1))], ["k1", "k2", "sharp"])
 
-    return docs.select("text").mapInArrow(run, "k1 long, k2 long, sharp array<long>")
+def sharper(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """node and the sharper signature (sharp) of classes."""
+
+    def signature(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        out = np.zeros((len(sizes), SHARP * SHARP_BITS // 64), np.uint64)
+        if len(values):
+            out[sizes > 0] = pack(minima(values, sizes[sizes > 0], SHARP), SHARP_BITS)
+        return _lists(out, len(sizes))
+
+    return _of_classes(docs, classes, width, signature, "sharp")
 
 
 def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
@@ -177,33 +200,35 @@ def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest reachable node) for every node of the edges (a, b).
+    """node and component (its smallest reachable node) for every node of the edges (a, b), as a table.
 
     Alternating large and small stars; the state of each round is a table in the shared folder.
     """
 
-    def stars(e: DataFrame) -> DataFrame:
+    def stars(e: DataFrame, n: int) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("rows"))
+        large = common.unskewed(both, least, ["a"], "rows", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Every node's smallest neighbour: a node that many meet at now is a root, which has no larger one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         return small.union(least.select("a", F.col("m").alias("b"))).distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = common.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").coalesce(8), "links")
+    now = common.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "links")
     seen = state(now)
-    while True:
-        now = common.cut(stars(now).coalesce(8), "stars")
-        after = state(now)
-        if after == seen:
+    while seen[0]:
+        after = common.cut(stars(now, seen[0]).coalesce(8 + seen[0] // LINKS_A_TASK), "stars")
+        common.drop(now)
+        now, before, seen = after, seen, state(after)
+        if before == seen:
             break
-        seen = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    out = common.cut(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
+    common.drop(now)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -216,98 +241,195 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The columns of ``near_duplicates`` with the node of each row's set and the root of its component, null without words."""
-    threshold = percent / 100
-    bands = bands_for(threshold)
-    k = bands * ROWS
-
-    all_docs = common.cut(sketches(docs, width, bands).withColumn("node", F.xxhash64("k1", "k2")).drop("k1", "k2"), "sketches")
-    some = all_docs.where("n > 0 and doc_id is not null")
-    classes = common.cut(some.groupBy("node").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("c")).select("node", "c.*"), "classes")
-    exploded = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    """The columns of ``near_duplicates`` with the identity of each row's set (k1, k2) and the root of its component, null without words."""
+    bands = bands_for(percent / 100)
+    all_docs = common.cut(sketches(docs, width, bands), "sketches")
+    same_set = all_docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2")
+    classes = same_set.agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("c"), F.count("*").alias("copies"))
+    classes = common.cut(classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "copies", "c.*"), "classes")
+    comp, roots = _linked(docs, classes, width, percent, bands)
+
+    first = classes.select("node", "k1", "k2", "copies", F.col("doc_id").alias("first"))
+    named = common.cut(first.join(comp, "node", "left").select("k1", "k2", "copies", "first", F.coalesce("component", "node").alias("c")), "named")
+    each = named.groupBy("c").agg(F.min("first").alias("least"), F.count("*").alias("rows"), F.sum("copies").alias("members"))
+    each = common.cut(each.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c")), "each")
+    facts = each.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("classes"), F.coalesce(F.sum("members"), F.lit(0)).alias("documents")).first()
+    smallest = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = common.cut(each.join(smallest, "root").select("c", "rows", "root", "component_id"), "told")
+    own = common.cut(common.unskewed(named, told, ["c"], "rows", facts.classes).select("k1", "k2", "copies", "root", "component_id"), "own")
+    common.drop(classes, comp, named, each, told, roots)
+
+    has_class = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rows = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "n", "k1", "k2")
+    found = common.unskewed(rows.where(has_class), own, ["k1", "k2"], "copies", facts.documents)
+    key = [F.when(F.col("n") > 0, F.col(k)).alias(k) for k in ("k1", "k2")]
+    none = rows.where(~has_class | F.col("doc_id").isNull()).select("doc_id", "n_shingles", *key, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    found = found.select("doc_id", "n_shingles", "k1", "k2", "root", "component_id").union(none)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "k1", "k2", "root")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """node and component of the classes (node, doc_id, n, k1, k2, bands, sig) that are linked with others, and
+    the same of components (a lone class is its own) that later links make one: tables.
+    """
+    threshold, k = percent / 100, bands * ROWS
+    exploded = classes.select("node", F.explode("bands").alias("key"))
     draw = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("hub"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("members"), F.min(draw).alias("x")).where("members > 1").select("key", F.col("x.hub").alias("hub"))
-    buckets = common.cut(exploded.join(shared, "key"), "buckets")
-
-    sig_of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    pairs = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    rated = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").where(sized).withColumn("est", estimate(F.col("sig_a"), F.col("sig_b"), k, BITS)).where(F.col("est") >= floor(threshold, k, BITS))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("members"), F.min(draw).alias("x")).where("members > 1").select("key", "members", F.col("x.hub").alias("hub"))
+    shared = common.cut(shared, "keys")
+    buckets = common.cut(common.unskewed(exploded, shared, ["key"], "members", classes.count() * bands).select("key", "node", "hub"), "buckets")
+    common.drop(shared)
+
+    pairs = common.cut(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    rated = _described(pairs, classes.select("node", "n", "sig"))
+    rated = rated.where(_sized(percent)).withColumn("est", estimate(F.col("sig_a"), F.col("sig_b"), k, BITS)).where(F.col("est") >= floor(threshold, k, BITS))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))
-    links = _confirmed(docs, classes, rated.select("a", "b", "est").withColumn("r", best).where(F.col("r") <= FIRST), width, percent)
+    links = _confirmed(docs, classes, rated.withColumn("r", best).where(F.col("r") <= FIRST).select("a", "b"), width, percent)
     comp = components(links)
+    common.drop(pairs, links)
+
+    still = _open(buckets.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+    common.drop(buckets)
+    sharp = common.cut(sharper(docs, classes.join(still.select("node").distinct(), "node", "left_semi"), width).join(classes.select("node", "n"), "node"), "sharp")
+    likely = _sized(percent) & (estimate(F.col("sharp_a"), F.col("sharp_b"), SHARP, SHARP_BITS) >= floor(threshold, SHARP, SHARP_BITS))
+    bridges: list[DataFrame] = []
+
+    def roots() -> DataFrame:
+        """What components the links found since then make one."""
+        edges = still.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
+        for found in bridges:
+            edges = edges.union(found.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        return components(edges.distinct())
+
+    now = still
+    for turn in range(ROUNDS):
+        if now.isEmpty():
+            break
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node"))
+        one = common.cut(now.groupBy("key", "c").agg(drawn.alias("x")).select("key", F.col("c").alias("c_a"), F.col("x.node").alias("a")), "representatives")
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "c_a").alias("h"), F.col("a").alias("b"), F.col("c_a").alias("c_b")))
+        hub = one.groupBy("key").agg(hub.alias("x"), F.count("*").alias("rows")).select("key", "rows", "x.b", "x.c_b")
+        pairs = common.unskewed(one, hub, ["key"], "rows", one.count()).where("a <> b").select("a", "b", "c_a", "c_b").distinct()
+        pairs = common.cut(pairs, "pairs")
+        links = _confirmed(docs, classes, _described(pairs, sharp).where(likely), width, percent, ["c_a", "c_b"])
+        common.drop(one, pairs)
+        if links.isEmpty():
+            break
+        bridges.append(links)
+        to = roots()
+        before, now = now, _open(_renamed(still, to.toDF("c", "root")))
+        common.drop(to, *([before] if before is not still else []))
+    if not now.isEmpty():
+        bridges.append(_confirmed(docs, classes, _across(now, sharp, likely), width, percent, ["c_a", "c_b"]))
+    to = roots()
+    common.drop(sharp, still, *bridges, *([now] if now is not still else []))
+    return comp, to
+
+
+def _sized(percent: int) -> Column:
+    """Whether sets of n_a and n_b members can be similar enough."""
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+
+def _described(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the columns of both nodes; b may be the same in many of them."""
+    side = lambda x: of.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in of.columns))
+    often = pairs.groupBy("b").agg(F.count("*").alias("rows")).join(side("b"), "b")
+    return common.unskewed(pairs, often, ["b"], "rows", pairs.count()).drop("rows").join(side("a"), "a")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members (key, node, c) of buckets that span several components, as a table."""
+    members = common.cut(members, "members")
+    spans = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows"))
+    out = common.cut(common.unskewed(members, spans, ["key"], "rows", members.count()).where("lo <> hi").select("key", "node", "c"), "open")
+    common.drop(members)
+    return out
+
+
+def _renamed(members: DataFrame, to: DataFrame) -> DataFrame:
+    """The rows with their component c replaced by its root, if ``to`` (c, root) has one; a component may have many rows."""
+    roots = members.groupBy("c").agg(F.count("*").alias("rows")).join(to, "c", "left")
+    found = common.unskewed(members, roots, ["c"], "rows", members.count())
+    return found.select("key", "node", F.coalesce("root", "c").alias("c"))
+
+
+def _across(still: DataFrame, sharp: DataFrame, likely: Column) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different components that look similar.
 
-    member = buckets.select("key", "band", "node").join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("c"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    still = common.cut(member.join(mixed, "key", "left_semi"), "open")
-    open_classes = classes.join(still.select("node").distinct(), "node", "left_semi")
-    sharp = sharper(_texts(docs, open_classes), width).withColumn("node", F.xxhash64("k1", "k2")).select("node", "sharp").dropDuplicates(["node"])
-    described = open_classes.select("node", "n", "bands").join(sharp, "node")
-    rows = still.join(described, "node")
-    side = lambda x: rows.select("key", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "band", "bands", "sharp")))
-    met = F.lit(False)
-    for i in range(bands - 1):
-        met = met | ((F.col("band_a") > i) & (F.get("bands_a", F.lit(i)) == F.get("bands_b", F.lit(i))))
-    likely = estimate(F.col("sharp_a"), F.col("sharp_b"), SHARP, SHARP_BITS) >= floor(threshold, SHARP, SHARP_BITS)
-    across = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized & likely & ~met
-    more = _confirmed(docs, classes, side("a").join(side("b"), "key").where(across).select("a", "b"), width, percent)
-    if not more.isEmpty():
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
-    named = classes.select("node", "doc_id").join(comp, "node")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    named = named.join(smallest, "component").select("node", "component", "smallest")
-    own = classes.select("node", F.col("doc_id").alias("first")).join(named, "node", "left").select("node", F.coalesce("component", "node").alias("root"), F.coalesce("smallest", "first").alias("component_id"))
-    found = all_docs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(own, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "node", "root")
-
-
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Texts of the documents that stand for the classes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes.select("doc_id"), "doc_id", "left_semi").select("text")
-
-
-def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs (a, b) of classes whose full sets are similar enough, as a table."""
-    c = common.cut(candidates.select("a", "b"), "candidates")
+    The members of a bucket are dealt into cells of about CELL, and every two cells, or one with itself, meet by
+    themselves: a task holds a few cells at a time, however large a bucket is.
+    """
+    sizes = still.groupBy("key").agg(F.count("*").alias("rows"))
+    dealt = common.unskewed(still, sizes, ["key"], "rows", still.count()).withColumn("cells", F.ceil(F.col("rows") / CELL).cast("int"))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).join(sharp, "node")
+    side = lambda x: [F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "sharp"))]
+    first = dealt.select("key", F.col("cell").alias("lo"), F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)).alias("hi"), *side("a"))
+    second = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("cell"))).alias("lo"), F.col("cell").alias("hi"), *side("b"))
+    once = (F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))
+    pairs = first.join(second, ["key", "lo", "hi"]).where(once & (F.col("c_a") != F.col("c_b")) & likely)
+    return pairs.select("a", "b", "c_a", "c_b").distinct()
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width: int, percent: int, more: Sequence[str] = ()) -> DataFrame:
+    """Those of the candidate pairs (a, b and more columns) of classes whose full sets are similar enough, as a table.
+
+    A set that many pairs want is copied, so that each copy meets with a thousandth of all pairs at most.
+    """
+    c = common.cut(candidates.select("a", "b", *more), "candidates")
+    total = c.count()
     wanted = c.select(F.col("a").alias("node")).union(c.select(F.col("b").alias("node"))).distinct()
-    sets = full_sets(_texts(docs, classes.join(wanted, "node", "left_semi")), width).withColumn("node", F.xxhash64("k1", "k2")).select("node", "members")
-    x = c.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
-    x = x.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
+    sets = full_sets(docs, classes.join(wanted, "node", "left_semi"), width)
+
+    def with_sets(x: DataFrame, side: str, other: str) -> DataFrame:
+        own = sets.select(F.col("node").alias(side), F.col("members").alias(f"of_{side}"))
+        rows = c.groupBy(side).agg(F.count("*").alias("rows")).where(common.often(F.col("rows"), total))
+        if rows.isEmpty():
+            return x.join(own, side)
+        often = F.broadcast(rows.select(side, F.ceil(F.col("rows") * common.HOT / total).cast("int").alias("copies")))
+        copies = F.coalesce("copies", F.lit(1))
+        own = own.join(often, side, "left").select(side, f"of_{side}", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+        dealt = x.join(often, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
+        return dealt.join(own, [side, "copy"]).drop("copy")
+
+    x = with_sets(with_sets(c, "a", "b"), "b", "a")
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return common.cut(x.where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent).select("a", "b"), "confirmed")
+    out = common.cut(x.where(both * 100 >= (F.size("of_a") + F.size("of_b") - both) * percent).select("a", "b", *more), "confirmed")
+    common.drop(c)
+    return out
 
 
 def _with_identity(docs: DataFrame, width: int) -> DataFrame:
-    """The rows with their doc_id as __id and the node of their sets as __node, null without words."""
+    """The rows with their doc_id as __id and the identity of their sets as __k1 and __k2, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, sizes = _sets(b.column(b.schema.get_field_index("text")), width)
-            keys = [pa.array(k.view(np.int64), mask=sizes == 0) for k in _identity(values, sizes)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *keys], [*b.schema.names, "__k1", "__k2"])
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                values, sizes = _sets(b.column("text"), width)
+                keys = [pa.array(k.view(np.int64), mask=sizes == 0) for k in _identity(values, sizes)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *keys], [*b.schema.names, "__k1", "__k2"])
 
-    common.small_batches(docs.sparkSession)
     schema = StructType([*docs.schema.fields, StructField("__k1", LongType()), StructField("__k2", LongType())])
-    node = F.when(F.col("__k1").isNotNull(), F.xxhash64("__k1", "__k2"))
-    return docs.mapInArrow(run, schema).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__node", node)
+    return docs.mapInArrow(run, schema).withColumn("__id", F.col("doc_id").cast("long"))
 
 
 def clean(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class of near duplicates; rows without a doc_id stay.
 
     Rows that repeat a doc_id are told apart by their sets: one stays of those linked to each other, those linked with
-    a smaller doc_id go, and texts without words count as equal.
+    a smaller doc_id go, and texts without words count as equal. Of rows with equal sets any may be the one that stays.
     """
-    found = common.cut(_judged(docs, width, percent).where("doc_id is not null").select("doc_id", "kept", "node", "root"), "near")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
-    ids = common.cut(ids.where("not __kept or __rows > 1").select(F.col("doc_id").alias("__id"), "__kept", "__rows"), "dropped")
-    same = F.col("doc_id").cast("long") == F.col("__id")
-    rest = docs.join(ids, same, "left_anti")
-    several = ids.where("__kept and __rows > 1")
-    chosen = found.where("kept").join(several.select(F.col("__id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("node").alias("node"))
-    chosen = chosen.select(F.col("doc_id").alias("__of"), F.col("node").alias("__at"))
-    repeated = _with_identity(docs.join(several, same, "left_semi"), width).dropDuplicates(["__id", "__node"])
-    repeated = repeated.join(chosen, (F.col("__id") == F.col("__of")) & F.col("__node").eqNullSafe(F.col("__at")), "left_semi")
-    return rest.union(repeated.select(*docs.columns)).select(*docs.columns)
+    found = common.cut(_judged(docs, width, percent).where("doc_id is not null").select("doc_id", "kept", "k1", "k2", "root"), "near")
+    total = found.count()
+    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    ids = common.cut(ids.where("not __kept or __rows > 1"), "dropped")
+    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    marked = common.unskewed(own.where("__id is not null"), ids, ["__id"], "__rows", total, "left")
+    single = marked.where("__rows is null").select(*docs.columns).union(own.where("__id is null").select(*docs.columns))
+    several = ids.where("__kept and __rows > 1").select("__id", "__rows")
+    kept = common.unskewed(found.where("kept").withColumnRenamed("doc_id", "__id"), several, ["__id"], "__rows", total, "left_semi")
+    chosen = kept.groupBy("__id", "root").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("__id").alias("__of"), F.col("k.k1").alias("__c1"), F.col("k.k2").alias("__c2"))
+    repeated = _with_identity(marked.where("__kept and __rows > 1").select(*docs.columns), width).dropDuplicates(["__id", "__k1", "__k2"])
+    same = (F.col("__id") == F.col("__of")) & F.col("__k1").eqNullSafe(F.col("__c1")) & F.col("__k2").eqNullSafe(F.col("__c2"))
+    return single.union(repeated.join(chosen, same, "left_semi").select(*docs.columns))
