@@ -1,11 +1,14 @@
 """WARC archives: a writer with one gzip member a record, and a sequential reader that inflates and verifies them.
 
-An archive is bytes (a file's content): gzip members one after another, each a WARC/1.1 record. ``archives`` makes rows
-of archives of bounded size, which Spark keeps in any store; ``read_archive`` takes any binary stream. The reader
-inflates piece by piece, frames blocks by Content-Length and checks block and payload digests.
+An archive is a file of gzip members one after another, each a WARC/1.1 record. Tasks write files of up to about
+``ARCHIVE_BYTES`` to a shared folder (any store that Arrow opens; the names count that their tasks committed) and read them
+back as streams. Where only Spark reaches the store, archives are binary rows of a table instead. The reader inflates piece
+by piece, frames blocks by Content-Length and checks block and payload digests, which must be there; a revisit's claims
+are checked against the response that it refers to.
 
 Of pages with equal payloads of at least ``LEAST`` bytes, that with the largest page_id is written as a response, the
-others as revisits that refer to it; smaller payloads are all responses.
+others as revisits that refer to it; smaller payloads are all responses. Copies are found by digests alone; html moves
+once, dealt by page_id and digest, and small pages stay where they are.
 
 Edge cases: null html counts as empty; a null page_id is written as such, ranks below all others and refers to nothing
 if it is the largest; rows that repeat the largest page_id are all responses; further columns are ignored; an empty table
@@ -24,6 +27,7 @@ from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,11 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST = 1000
-#: An archive is closed once it has this many bytes.
-ARCHIVE_BYTES = 4 << 20
+#: An archive is closed once it has this many bytes; one that is a row of a table, once it has ROW_BYTES.
+ARCHIVE_BYTES = 256 << 20
+ROW_BYTES = 4 << 20
+#: Tasks that read archives, at most.
+READERS = 10_000
 #: Compressed bytes that the reader takes at once.
 READ_BYTES = 1 << 16
 LEVEL = 5
@@ -123,8 +130,8 @@ def inflate(source: BinaryIO) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def parse(content: bytes) -> Record:
-    """The record in a member's content, framed by its Content-Length; digests are verified."""
+def parse(content: bytes, strict: bool = False) -> Record:
+    """The record in a member's content, framed by its Content-Length; digests are verified, and if ``strict`` demanded."""
     head, gap, body = content.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not gap or not version.startswith(b"WARC/1."):
@@ -138,6 +145,8 @@ def parse(content: bytes) -> Record:
     n = int(headers.get("Content-Length", "-1"))
     if n < 0 or body[n:] != b"\r\n\r\n":
         raise DamagedArchive("Content-Length doesn't frame the block")
+    if strict and not {"WARC-Block-Digest", "WARC-Payload-Digest"} <= headers.keys():
+        raise DamagedArchive("no digest")
     block = body[:n]
     if "WARC-Block-Digest" in headers and digest(block) != headers["WARC-Block-Digest"]:
         raise DamagedArchive("block digest")
@@ -149,24 +158,34 @@ def parse(content: bytes) -> Record:
     return Record(headers, block, payload)
 
 
-def read_archive(source: BinaryIO) -> Iterator[Record]:
+def read_archive(source: BinaryIO, strict: bool = False) -> Iterator[Record]:
     """All records of an archive, in order."""
-    return map(parse, inflate(source))
+    return (parse(content, strict) for content in inflate(source))
 
 
 def plan(pages: DataFrame) -> DataFrame:
     """page_id, url, html, refers_to, revisit: which rows are written as revisits, and of what."""
     page = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    key = F.sha1(F.col("html").cast("binary"))
     large = F.octet_length("html") >= LEAST
-    many = page.where(large).groupBy(key.alias("digest")).agg(F.count("*").alias("n"), F.max("page_id").alias("largest")).where("n > 1 and largest is not null").select("digest", "largest")
-    joined = page.withColumn("digest", F.when(large, key)).join(many, "digest", "left")
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("largest")) & F.col("largest").isNotNull(), F.lit(False))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
+    long = page.where(large).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    groups = common.cut(long.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("largest")), "digests")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = common.unskewed(long.select("page_id", "digest"), groups, ["digest"], "n", total).where("n > 1 and largest is not null")
+    revisits = told.where(~F.col("page_id").eqNullSafe(F.col("largest"))).select(F.col("page_id").alias("of"), F.col("digest").alias("same"), F.col("largest").alias("refers_to")).distinct()
+    joined = long.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")), "left")
+    joined = joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
+    return joined.union(page.where(~large).select("page_id", "url", "html", F.lit(None).cast("long"), F.lit(False)))
+
+
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
+    for whole in batches:
+        for b in common.slices(whole, 2):
+            for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns)):
+                yield page_member(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, revisit)
 
 
 def archives(pages: DataFrame) -> DataFrame:
-    """archive, content: the pages as WARC archives of about ``ARCHIVE_BYTES``."""
+    """archive, content: the pages as WARC archives of about ``ROW_BYTES``, for stores that only Spark reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, parts, size = TaskContext.get().partitionId(), 0, [], 0
@@ -174,54 +193,117 @@ def archives(pages: DataFrame) -> DataFrame:
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{task:06d}-{number:06d}.warc.gz"]), pa.array([b"".join(parts)], pa.binary())], ["archive", "content"])
 
-        for b in batches:
-            for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns)):
-                parts.append(page_member(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, revisit))
-                size += len(parts[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield closed()
-                    number, parts, size = number + 1, [], 0
+        for m in _members(batches):
+            parts.append(m)
+            size += len(m)
+            if size >= ROW_BYTES:
+                yield closed()
+                number, parts, size = number + 1, [], 0
         if parts:
             yield closed()
 
-    common.small_batches(pages.sparkSession)
     return plan(pages).mapInArrow(run, "archive string, content binary")
 
 
+def _store(folder: str) -> tuple[FileSystem, str]:
+    """The file system of a folder's address, and the folder there."""
+    return FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def write_files(pages: DataFrame, folder: str) -> DataFrame:
+    """archive: the names of the archives that the pages were written to in a folder.
+
+    A task that is run again writes files of other names; the rows that a committed task returns are what counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, path), context = _store(folder), TaskContext.get()
+        store.create_dir(path, recursive=True)
+        number, size, out, name = 0, 0, None, ""
+        for m in _members(batches):
+            if out is None:
+                name = f"pages-{context.partitionId():06d}-{context.taskAttemptId()}-{number:06d}.warc.gz"
+                out, size = store.open_output_stream(f"{path}/{name}", compression=None), 0
+            out.write(m)
+            size += len(m)
+            if size >= ARCHIVE_BYTES:
+                out.close()
+                yield pa.RecordBatch.from_arrays([pa.array([name])], ["archive"])
+                out, number = None, number + 1
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["archive"])
+
+    return plan(pages).mapInArrow(run, "archive string")
+
+
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _rows(records: Iterable[Record]) -> pa.RecordBatch:
-    h = [r.headers for r in records]
-    number = lambda name: pa.array([int(x[name]) if x.get(name) else None for x in h], pa.int64())
+def _rows(found: list[dict[str, str]]) -> pa.RecordBatch:
+    number = lambda name: pa.array([int(x[name]) if x.get(name) else None for x in found], pa.int64())
     text = lambda values: pa.array(list(values), pa.string())
     return pa.RecordBatch.from_arrays(
-        [number("X-Page-ID"), number("X-Payload-Length"), text(hex_digest(x["WARC-Payload-Digest"]) for x in h), text(x["WARC-Type"] for x in h), number("X-Refers-To-Page-ID")],
+        [number("X-Page-ID"), number("X-Payload-Length"), text(hex_digest(x["WARC-Payload-Digest"]) for x in found), text(x["WARC-Type"] for x in found), number("X-Refers-To-Page-ID")],
         [c.split()[0] for c in RECORD.split(", ")],
     )
 
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives."""
+def _told(source: BinaryIO) -> Iterator[pa.RecordBatch]:
+    """What the headers of an archive's records say, once their blocks are verified."""
+    found = []
+    for r in read_archive(source, strict=True):
+        if r.headers["WARC-Type"] == "response" and len(r.payload) != int(r.headers["X-Payload-Length"]):
+            raise DamagedArchive("payload length")
+        found.append(r.headers)
+        if len(found) >= 5000:
+            yield _rows(found)
+            found = []
+    if found:
+        yield _rows(found)
+
+
+def read_files(names: DataFrame, folder: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives in a folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = _store(folder)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(f"{path}/{name}", compression=None, buffer_size=READ_BYTES) as source:
+                    yield from _told(source)
+
+    return names.select("archive").repartition(max(1, min(names.count(), READERS))).mapInArrow(run, RECORD)
+
+
+def read_rows(stored: DataFrame) -> DataFrame:
+    """The same of archives that are rows of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                found = []
-                for r in read_archive(io.BytesIO(content.as_py())):
-                    if r.headers["WARC-Type"] == "response" and len(r.payload) != int(r.headers["X-Payload-Length"]):
-                        raise DamagedArchive("payload length")
-                    found.append(Record(r.headers, b""))
-                yield _rows(found)
+                yield from _told(io.BytesIO(content.as_py()))
 
     return stored.select("content").mapInArrow(run, RECORD)
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """The records, if every revisit's digest and length are those of the response it refers to."""
+    facts = ["payload_digest", "payload_bytes"]
+    claims = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *facts).distinct()
+    if not claims.join(records.where("record_type = 'response'").select("page_id", *facts).distinct(), ["page_id", *facts], "left_anti").isEmpty():
+        raise DamagedArchive("a revisit refers to no response with its payload")
+    return records
+
+
 def write_and_read(pages: DataFrame) -> DataFrame:
     """Writes the archives to the shared folder, then reads them back."""
-    stored = common.cut(archives(pages), "archives")
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return read_back(stored)
+    folder = common.scratch(pages.sparkSession, "archives")
+    try:
+        _store(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return verified(common.cut(read_rows(common.cut(archives(pages), "archives")), "records"))
+    return verified(common.cut(read_files(common.cut(write_files(pages, folder), "names"), folder), "records"))
 
 
 ORACLE = """
