@@ -1,12 +1,12 @@
 """Chat formatting: conversations rendered by a compiled template, with marks for what an assistant generates.
 
 Control strings in roles and texts are escaped reversibly: every backslash is doubled, and a backslash is put before
-``<turn``, ``</turn`` and ``###``. An unescaped control string in the output therefore always is the template's own, and
+``<turn``, ``</turn`` and each sign of ``###``. An unescaped control string in the output therefore always is the template's own, and
 ``read`` recovers roles, texts and the loss mask's text.
 
 Edge cases: null text and role count as empty; rows of a conversation come in order of turn (null first), then role,
 then text, repeated rows each; a null conv_id is a conversation of its own; an empty table gives an empty result; further
-columns are ignored.
+columns are ignored. Memory is a few times the size of the conversation at hand, whatever is in its texts.
 """
 
 from __future__ import annotations
@@ -31,15 +31,20 @@ TEMPLATE = """\
 {% endfor -%}
 """
 LEAD = "### Assistant:\n"
-_CONTROL = re.compile(r"\\|<(?=/?turn)|#(?=##)")
+#: Characters that are unescaped at a time.
+PIECE = 1 << 16
+CONTROL = {"\\": "\\\\", "<turn": "\\<turn", "</turn": "\\</turn", "###": "\\#\\#\\#"}
 _ROLE = re.compile(r"[\\>\n]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<turn ((?:[^\\>\n]|\\.)*)>\n((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_ROLE_END = re.compile(r"\\.|[>\n]", re.S)
+_TEXT_END = re.compile(r"\\.|</turn>\n", re.S)
 
 
 def escape(text: str) -> str:
     """A text in which no control string stands unescaped."""
-    return _CONTROL.sub(r"\\\g<0>", text)
+    for control, escaped in CONTROL.items():
+        text = text.replace(control, escaped)
+    return text
 
 
 def escape_role(role: str) -> str:
@@ -48,8 +53,17 @@ def escape_role(role: str) -> str:
 
 
 def unescape(text: str) -> str:
-    """What was escaped."""
-    return _ESCAPED.sub(r"\1", text)
+    """What was escaped; long texts are gone through in pieces, none of which ends within an escape."""
+    if "\\" not in text:
+        return text
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        run = end - at - len(text[at:end].rstrip("\\"))
+        end += run % 2
+        out.append(_ESCAPED.sub(r"\1", text[at:end]))
+        at = end
+    return "".join(out)
 
 
 def compiled(source: str = TEMPLATE) -> Template:
@@ -65,20 +79,31 @@ class Read:
     loss: list[str]
 
 
+def _until(end: re.Pattern, text: str, start: int, at: int) -> re.Match:
+    """The first unescaped match of ``end``."""
+    for m in end.finditer(text, at):
+        if m[0][0] != "\\":
+            return m
+    raise ValueError(f"no turn at {start}")
+
+
 def read(formatted: str, spans: list[tuple[int, int]]) -> Read:
     """Parses a formatted conversation; fails if it isn't whole turns."""
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        if not formatted.startswith("<turn ", at):
+            raise ValueError(f"no turn at {at}")
+        head = _until(_ROLE_END, formatted, at, at + 6)
+        if formatted[head.start() : head.end() + 1] != ">\n":
             raise ValueError(f"no turn at {at}")
-        role, body = unescape(m[1]), m[2]
+        role, start = unescape(formatted[at + 6 : head.start()]), head.end() + 1
         if role == "assistant":
-            if not body.startswith(LEAD):
+            if not formatted.startswith(LEAD, start):
                 raise ValueError(f"no lead at {at}")
-            body = body[len(LEAD) :]
-        turns.append((role, unescape(body)))
-        at = m.end()
+            start += len(LEAD)
+        end = _until(_TEXT_END, formatted, at, start)
+        turns.append((role, unescape(formatted[start : end.start()])))
+        at = end.end()
     return Read(turns, [unescape(formatted[a:b]) for a, b in spans])
 
 
@@ -103,22 +128,22 @@ def format_conversations(conversations: DataFrame, source: str = TEMPLATE) -> Da
                 ["conv_id", "formatted", "loss_spans"],
             )
 
-        for b in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in b.columns)):
-                if at is not None and at[0] != conv:
-                    close()
-                    messages = []
-                    if size > 1 << 22:
-                        yield batch()
-                        done, size = [], 0
-                at = (conv,)
-                messages.append({"role": role, "text": text})
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                for conv, role, text in zip(*(c.to_pylist() for c in b.columns)):
+                    if at is not None and at[0] != conv:
+                        close()
+                        messages = []
+                        if size > 1 << 22:
+                            yield batch()
+                            done, size = [], 0
+                    at = (conv,)
+                    messages.append({"role": role, "text": text})
         if at is not None:
             close()
         if done:
             yield batch()
 
-    common.small_batches(conversations.sparkSession)
     empty = F.lit("")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
@@ -132,13 +157,20 @@ def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted conversations, as counts and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for conv, text, spans in zip(*(c.to_pylist() for c in b.columns)):
-                found = read(text, [(s["start"], s["end"]) for s in spans])
-                turns, loss = (hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in ("".join(f"{r}\n{t}\n" for r, t in found.turns), "".join(found.loss)))
-                out.append((conv, len(found.turns), turns, sum(map(len, found.loss)), loss, len(text)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], [c.split()[0] for c in DIGESTS.split(", ")])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        for whole in batches:
+            for b in common.slices(whole, "formatted"):
+                out = []
+                for conv, text, spans in zip(*(c.to_pylist() for c in b.columns)):
+                    found = read(text, [(s["start"], s["end"]) for s in spans])
+                    turns, loss = hashlib.sha256(), hashlib.sha256()
+                    for r, t in found.turns:
+                        turns.update(f"{r}\n".encode("utf-8", "surrogatepass"))
+                        turns.update(t.encode("utf-8", "surrogatepass"))
+                        turns.update(b"\n")
+                    for t in found.loss:
+                        loss.update(t.encode("utf-8", "surrogatepass"))
+                    out.append((conv, len(found.turns), turns.hexdigest(), sum(map(len, found.loss)), loss.hexdigest(), len(text)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], [c.split()[0] for c in DIGESTS.split(", ")])
 
     return formatted.mapInArrow(run, DIGESTS)
