@@ -45,6 +45,7 @@ CLOSES = {
     "td": ("td", "th"),
     "th": ("td", "th"),
 }
+STORY = frozenset("article main".split())
 SCOPE = frozenset("table td th ul ol dl select article section div main aside nav body".split())
 IN_P = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside nav header footer main form blockquote pre figure address hr fieldset details menu center".split())
 
@@ -64,11 +65,15 @@ class Element:
 
 @dataclass
 class Block:
-    """A leaf block: white space collapsed, with the elements around it and the share of its text in links."""
+    """A leaf block: white space collapsed, with the elements around it and the share of its text in links.
+
+    ``story`` counts the outermost article and main elements up to the one around the block; 0 if none is.
+    """
 
     text: str
     path: tuple[tuple[str, tuple[str, ...]], ...]
     linked: float
+    story: int = 0
 
 
 @lru_cache(maxsize=4096)
@@ -84,14 +89,14 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    in_link, link_chars = 0, 0
+    in_link, link_chars, stories = 0, 0, 0
 
     def close() -> None:
         nonlocal parts, link_chars
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] in BLOCK), min(1.0, link_chars / len(text))))
+                out.append(Block(text, tuple(x for x in stack if x[0] in BLOCK), min(1.0, link_chars / len(text)), stories if any(x[0] in STORY for x in stack) else 0))
         parts, link_chars = [], 0
 
     def pop(tag: str, scope: frozenset[str] = frozenset()) -> None:
@@ -156,11 +161,14 @@ def blocks(page: str) -> list[Block]:
             for other in CLOSES.get(tag, ()):
                 pop(other, frozenset(("table",)) if tag in ("tr", "td", "th") else SCOPE - {other})
         if tag in VOID:
-            parts.append(" ")
+            if tag == "br":
+                parts.append(" ")
             continue
         if tag == "a":
             pop("a", SCOPE)
             in_link += 1
+        if tag in STORY and not any(x[0] in STORY for x in stack):
+            stories += 1
         stack.append((tag, _words(attributes)))
     close()
     return out
@@ -186,6 +194,8 @@ def path_features(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, .
 
 
 _MARK = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
+# Words that short texts around an article have.
+_CUE = re.compile(r"\b(?:comments?|repl(?:y|ies)|said|cookies?|accept|newsletter|subscri(?:be|ption)|sign (?:in|up)|log ?in|advert(?:isement|ising)?|sponsored|related|recommended|most read|read more|share|follow us|search|menu|privacy|terms of use|contact|home|tags)\b", re.I)
 
 
 def text_features(text: str, linked: float) -> tuple[str, ...]:
@@ -195,6 +205,8 @@ def text_features(text: str, linked: float) -> tuple[str, ...]:
     out = [f"size:{size}", f"linked:{min(4, int(linked * 5))}", "stop" if text[-1] in ".!?…:;\"'»”" else "nostop"]
     if _MARK.search(text):
         out.append("copyright")
+    if words <= 12 and _CUE.search(text):
+        out.append("cue")
     if text.count("|") + text.count("·") >= 2 and words < 30:
         out.append("bars")
     if sum(c.isdigit() for c in text[:80]) * 3 > len(text[:80]):
@@ -204,11 +216,18 @@ def text_features(text: str, linked: float) -> tuple[str, ...]:
 
 def describe(page: list[Block]) -> list[tuple[str, ...]]:
     """The features of each block of a page."""
-    out = []
+    out, stories = [], any(b.story for b in page)
     for k, b in enumerate(page):
-        edge = ("first",) if k == 0 else ("last",) if k == len(page) - 1 else ()
-        same = ("as-before",) if k and page[k - 1].path == b.path else ()
-        out.append((*path_features(b.path), *text_features(b.text, b.linked), *edge, *same, "bias"))
+        place = []
+        if stories and not b.story:
+            place.append("outside")
+        elif b.story > 1:
+            place.append("later-story")
+        if k and k == len(page) - 1:
+            place.append("last")
+        if k and page[k - 1].path == b.path:
+            place.append("as-before")
+        out.append((*path_features(b.path), *text_features(b.text, b.linked), *place, "bias"))
     return out
 
 
@@ -294,6 +313,11 @@ class _Writer:
         d = self.draw
         return " ".join("".join(d.choice("bcdfglmnprstvzaeiou") for _ in range(d.randint(2, 9))) for _ in range(d.randint(least, most)))
 
+    def cue(self, kind: str, text: str) -> str:
+        """The text, or now and then words that such a part of a page has."""
+        d = self.draw
+        return d.choice(CUES[kind]) if d.random() < 0.4 else f"{d.choice(CUES[kind])} {text}" if d.random() < 0.2 else text
+
     def sentence(self, least: int = 5, most: int = 60) -> str:
         return self.words(least, most).capitalize() + self.draw.choice("....!?")
 
@@ -321,15 +345,26 @@ NAMES = {
     "share": "share social sharing follow buttons toolbar".split(),
     "story": "content article post entry story main text body article-body post-content entry-content main-content page-content wrapper-text".split(),
 }
+CUES = {
+    "menu": ["Home", "Contact", "Menu", "Search"],
+    "header": ["Home", "Search", "Menu"],
+    "footer": ["Privacy", "Terms of use", "Contact", "All rights reserved"],
+    "side": ["Related", "Most read", "Read more", "Recommended", "Tags"],
+    "notice": ["We use cookies.", "Accept", "Subscribe to our newsletter", "Cookie settings"],
+    "ad": ["Advertisement", "Sponsored", "Advert"],
+    "form": ["Search", "Sign up", "Log in", "Subscribe"],
+    "comments": ["Comments", "Leave a reply", "Reply", "3 replies", "Add a comment"],
+    "share": ["Share", "Follow us"],
+}
 SEMANTIC = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "notice": "dialog"}
 
 
-def _part(w: _Writer, kind: str) -> None:
-    """Some part of a page that isn't the article."""
+def _part(w: _Writer, kind: str, named: bool = True) -> None:
+    """Some part of a page that isn't the article; unless ``named``, its elements may be of no telling kind."""
     d = w.draw
     tag = SEMANTIC.get(kind) if d.random() < 0.6 else None
     tag = tag or ("form" if kind == "form" else d.choice(["div", "div", "div", "section"]))
-    plain = tag in ("nav", "header", "footer", "aside", "form", "dialog") and d.random() < 0.6
+    plain = (tag in ("nav", "header", "footer", "aside", "form", "dialog") and d.random() < 0.6) or (not named and d.random() < 0.5)
     attributes = "" if plain else f' {d.choice(["class", "class", "id", "role"])}="{d.choice(NAMES[kind])}"'
     w.open(tag, attributes)
     bare = d.random() < 0.4
@@ -337,43 +372,50 @@ def _part(w: _Writer, kind: str) -> None:
         if d.random() < 0.8:
             w.open("ul")
             for _ in range(d.randint(2, 9)):
-                w.put("li", f'<a href="#">{w.words(1, 2)}</a>', 0, closed=d.random() < 0.8)
+                w.put("li", f'<a href="#">{w.cue(kind, w.words(1, 2))}</a>', 0, closed=d.random() < 0.8)
             w.close("ul")
         else:
             w.put("div" if not bare else "span", " | ".join(f'<a href="#">{w.words(1, 2)}</a>' for _ in range(5)), 0)
     elif kind == "header":
         w.put(d.choice(["h1", "div", "p", "h2"]), w.words(1, 6), 0)
         if d.random() < 0.5:
-            w.put("p", w.words(2, 14), 0)
+            w.put("p", w.cue(kind, w.words(2, 14)), 0)
     elif kind == "footer":
         w.put("p" if not bare else "span", f"{d.choice(['&copy;', '©', 'Copyright', ''])} {w.words(1, 5)} {d.choice(['&middot;', '|', '-'])} {w.sentence(3, 12)}", 0)
         if d.random() < 0.3:
-            w.put("p", w.sentence(6, 40), 0)
+            w.put("p", w.cue(kind, w.sentence(6, 40)), 0)
     elif kind == "form":
-        w.put("label", w.words(1, 3), 0)
+        w.put("label", w.cue(kind, w.words(1, 3)), 0)
         w.put("button", w.words(1, 2), 0)
         if d.random() < 0.4:
             w.put("p", w.sentence(4, 25), 0)
     elif kind == "comments":
         if d.random() < 0.7:
-            w.put(d.choice(["h2", "h3", "h4"]), f"{d.randint(1, 90)} {w.words(1, 1)}", 0)
+            w.put(d.choice(["h2", "h3", "h4"]), w.cue(kind, f"{d.randint(1, 90)} {w.words(1, 1)}"), 0)
+        listed = d.choice(["ol", "ul", ""])
+        if listed:
+            w.open(listed)
         for _ in range(d.randint(1, 4)):
-            holder = d.choice(["div", "li", "article", "section"])
+            holder = "li" if listed else d.choice(["div", "li", "article", "section"])
             w.open(holder, d.choice(["", ' class="comment"', ' class="reply"']))
             if d.random() < 0.5:
                 w.put("div", w.words(1, 3), 0)
             for _ in range(d.randint(1, 2)):
                 w.put("p", w.sentence(3, 60), 0)
+            if d.random() < 0.2:
+                w.put("div", '<a href="#">Reply</a>', 0)
             w.close(holder)
+        if listed:
+            w.close(listed)
     elif kind == "share":
         for _ in range(d.randint(2, 4)):
-            w.put(d.choice(["div", "li"]), f'<a href="#">{w.words(1, 2)}</a>', 0)
+            w.put(d.choice(["div", "li"]), f'<a href="#">{w.cue(kind, w.words(1, 2))}</a>', 0)
     elif bare:
-        w.html.append(w.sentence(3, 30))
+        w.html.append(w.cue(kind, w.sentence(3, 30)))
         w.truth.append(0)
     else:
         if d.random() < 0.4:
-            w.put(d.choice(["h2", "h3", "h4"]), w.words(1, 4), 0)
+            w.put(d.choice(["h2", "h3", "h4"]), w.cue(kind, w.words(1, 4)), 0)
         for _ in range(d.randint(1, 3)):
             w.put(d.choice(["p", "div", "li"]), w.sentence(3, 45) if d.random() < 0.7 else f'<a href="#">{w.words(3, 9)}</a>', 0)
     w.close(tag)
@@ -385,9 +427,10 @@ def _story(w: _Writer) -> None:
     layout = d.choice(["article", "article", "article", "main", "both", "div", "div", "section", "td", "bare"])
     outer = {"article": ["article"], "main": ["main"], "both": ["main", "article"], "div": ["div"], "section": ["section"], "td": ["table", "tr", "td"], "bare": []}[layout]
     for tag in outer:
-        named = tag in ("div", "section") or (tag in ("article", "main", "td") and d.random() < 0.4)
+        named = (tag in ("div", "section") and d.random() < 0.75) or (tag in ("article", "main", "td") and d.random() < 0.4)
         w.open(tag, f' {d.choice(["class", "id"])}="{d.choice(NAMES["story"])}"' if named else "")
-    if d.random() < 0.85:
+    paragraph = d.choice(["p"] * 7 + ["div"] * 2)
+    if d.random() < 0.8:
         head = d.random() < 0.15 and layout in ("article", "both")
         if head:
             w.open("header")
@@ -397,15 +440,17 @@ def _story(w: _Writer) -> None:
     if d.random() < 0.1:
         _part(w, "share")
     sloppy = d.random() < 0.3
-    for k in range(d.randint(1, 14)):
+    for _ in range(1 if d.random() < 0.15 else d.randint(1, 14)):
         form = d.random()
         if form < 0.75:
             text = w.sentence(1 if d.random() < 0.1 else 5, 90)
             if d.random() < 0.15:
                 text = f'{text} <a href="#">{w.words(1, 4)}</a> {w.sentence(2, 8)}'
+            if d.random() < 0.02:
+                text = f"{d.choice(CUES['form'])} {w.words(1, 6)}"
             if d.random() < 0.1:
                 text = " | ".join(w.words(1, 1) for _ in range(d.randint(5, 40)))
-            w.put("p", f"<b>{text}<br>" if sloppy and d.random() < 0.4 else text, 1, closed=not sloppy or d.random() < 0.5)
+            w.put(paragraph, f"<b>{text}<br>" if sloppy and d.random() < 0.4 else text, 1, closed=paragraph == "div" or not sloppy or d.random() < 0.5)
         elif form < 0.85:
             w.put(d.choice(["h2", "h3"]), w.words(1, 8), 1)
         elif form < 0.92:
@@ -429,9 +474,10 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
     out, draw = [], random.Random(seed)
     for _ in range(n):
         w = _Writer(draw)
-        w.html.append("<!DOCTYPE html><html><head>")
-        w.put("title", w.words(1, 12), 0)
-        w.html.append("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
+        if draw.random() < 0.85:
+            w.html.append("<!DOCTYPE html><html><head>")
+            w.put("title", w.words(1, 12), 0)
+            w.html.append("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
         wrapped = draw.random() < 0.3
         if wrapped:
             w.open("div", draw.choice(["", ' class="wrapper"', ' id="page"', ' class="container"']))
@@ -442,7 +488,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
         _story(w)
         for kind, chance in (("share", 0.15), ("comments", 0.35), ("side", 0.35), ("ad", 0.3), ("form", 0.25), ("menu", 0.2), ("notice", 0.15), ("footer", 0.85)):
             if draw.random() < chance:
-                _part(w, kind)
+                _part(w, kind, kind != "comments")
         if wrapped:
             w.close("div")
         w.html.append("</body></html>")
@@ -450,7 +496,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
     return out
 
 
-TRAIN_PAGES = 500
+TRAIN_PAGES = 900
 
 
 @lru_cache(maxsize=2)
@@ -475,9 +521,9 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(p, field) for p in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for whole in batches:
+            for b in common.slices(whole, 2):
+                texts = [main_text(p, field) for p in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    common.small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
