@@ -61,9 +61,9 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(common.table(spark, sf_dir, "documents"))
 
 
-def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document."""
-    return secrets.find_secrets(common.table(spark, sf_dir, "documents"))
+def op10_secret_scan(spark: SparkSession, sf_dir: str, words: str | None = None) -> DataFrame:
+    """Secrets in every document; ``words`` is the path of the vocabulary whose words are ranked."""
+    return secrets.find_secrets(common.table(spark, sf_dir, "documents"), words or word_bpe())
 
 
 def word_bpe() -> str:
