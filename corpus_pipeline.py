@@ -28,7 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced by marks."""
-    return secrets.clean(docs)
+    return secrets.clean(docs, queries.word_bpe())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` of ``sf_dir``."""
     docs = common.table(spark, sf_dir, "documents")
+    kept = []
     for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), name)
+        common.drop(*kept)
+        kept = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
