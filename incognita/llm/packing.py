@@ -8,6 +8,8 @@ sequences and one leftover; leftovers, under one sequence a task, are merged in
 Documents may be cut anywhere; each token lies in exactly one piece. Only the last sequence of all is not full; where
 its length is no power of two, it counts as padded to 2048.
 
+Ids are those of the tokenizer as its file has it: its special tokens' strings in a text are these tokens.
+
 Edge cases: null and empty texts are the end token alone; repeated rows are packed each, every piece with its row's
 doc_id (also null); an empty table gives no rows; further columns are ignored.
 """
@@ -33,11 +35,15 @@ OPEN = 64
 END = 1
 #: Leftovers that meet in one task at each level of the final merge.
 FAN_IN = 64
-#: Words kept with their ids in a Python worker.
+#: Words kept with their ids in a Python worker, and the bytes of the longest that is.
 CACHED = 700_000
+LONGEST_KEPT = 64
+#: Text split into words at a time, in bytes; it is cut at white space only.
+AT_ONCE = 1 << 20
 #: Room for the sequences of one task in a sequence_id.
 SPAN = 1 << 32
 
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
 PIECE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long"
 
@@ -53,25 +59,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # their strings are found in whole texts, before case is folded
         self.known: dict[bytes, bytes] = {}
+        added = {t.content.encode(): i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added, self.special = added, re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; words that aren't known yet are tokenized together."""
-        split = [_STOP.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > CACHED:
-                self.known = dict(islice(self.known.items(), CACHED // 3))  # the first to come are the frequent ones
-                new = list(set().union(*split).difference(self.known))
-            found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in new], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new)), "right")
-            data, at = ids.tobytes(), 0
-            for w, end in zip(new, (ends * 4).tolist()):
+        """The ids of each text; words of about AT_ONCE bytes are tokenized together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for k, t in enumerate(texts):
+            for piece in self._pieces((t or "").encode("utf-8", "surrogatepass")):
+                if piece in self.added:
+                    waiting.append((k, piece))
+                else:
+                    waiting.append((k, _STOP.sub(rb" \1", piece.lower()).split()))
+                    size += len(piece)
+                if size >= AT_ONCE:
+                    self._put(waiting, out)
+                    waiting, size = [], 0
+        self._put(waiting, out)
+        return [b"".join(ids) for ids in out]
+
+    def _pieces(self, text: bytes) -> Iterator[bytes]:
+        """The text between the added tokens' strings, in pieces that end before white space, and those strings."""
+        for part in self.special.split(text) if self.special and b"<|" in text else (text,):
+            if part in self.added:
+                yield part
+                continue
+            start = 0
+            while start < len(part):
+                m = _SPACE.search(part, start + AT_ONCE) if len(part) - start > AT_ONCE else None
+                end = m.start() if m else len(part)
+                yield part[start:end] + b" " * bool(m)
+                start = end
+
+    def _put(self, waiting: list[tuple[int, bytes | list[bytes]]], out: list[list[bytes]]) -> None:
+        every = set().union(*(words for _, words in waiting if isinstance(words, list)))
+        rare = self._ids(list(every.difference(self.known)))
+        known = self.known.__getitem__
+        for k, words in waiting:
+            if not isinstance(words, list):
+                out[k].append(self.added[words])
+            elif not rare:
+                out[k].append(b"".join(map(known, words)))
+            else:
+                out[k].append(b"".join([rare[w] if w in rare else known(w) for w in words]))
+
+    def _ids(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Learns the ids of words; those that aren't kept, since they are long or there is no room, are returned."""
+        if not new:
+            return {}
+        encoded = self.tokenizer.encode([w.decode("utf-8", "replace") for w in new], is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(new)), "right")
+        data, at, rare = np.array(encoded.ids, "<u4").tobytes(), 0, {}
+        if len(self.known) + len(new) > CACHED:
+            kept = dict(islice(self.known.items(), CACHED // 3))  # the first to come are the frequent ones
+            rare = {w: ids for w, ids in self.known.items() if w not in kept}
+            self.known = kept
+        for w, end in zip(new, (ends * 4).tolist()):
+            if len(w) <= LONGEST_KEPT:
                 self.known[w] = data[at:end]
-                at = end
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            else:
+                rare[w] = data[at:end]
+            at = end
+        return rare
 
 
 @lru_cache(maxsize=1)
@@ -88,23 +140,24 @@ class Packer:
 
     def add(self, doc: int | None, start: int, ids: bytes, total: int) -> None:
         """Places the tokens, cutting where a window ends."""
-        full = self.length * 4
-        while len(ids) >= full:
-            self.filled.append([(doc, start, ids[:full], total)])
-            ids, start = ids[full:], start + self.length
-        while ids:
+        full, at, n = self.length * 4, 0, len(ids)
+        while n - at >= full:
+            self.filled.append([(doc, start + at // 4, ids[at : at + full], total)])
+            at += full
+        rest, start = ids[at:], start + at // 4
+        while rest:
             room = [full - used for used, _ in self.open]
-            fits = [(r, i) for i, r in enumerate(room) if r >= len(ids)]
+            fits = [(r, i) for i, r in enumerate(room) if r >= len(rest)]
             if fits:
-                self._put(min(fits)[1], (doc, start, ids, total))
+                self._put(min(fits)[1], (doc, start, rest, total))
                 return
             if len(self.open) < self.windows:
                 self.open.append((0, []))
                 continue
             i = min(range(len(room)), key=room.__getitem__)
             head = room[i]
-            self._put(i, (doc, start, ids[:head], total))
-            ids, start = ids[head:], start + head // 4
+            self._put(i, (doc, start, rest[:head], total))
+            rest, start = rest[head:], start + head // 4
 
     def _put(self, i: int, piece: tuple) -> None:
         used, pieces = self.open[i]
@@ -181,16 +234,16 @@ def _stream(pieces: Iterator[tuple], task: int, first: int, length: int, windows
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = OPEN) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
 
         def pieces() -> Iterator[tuple]:
-            for b in batches:
-                for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).encode(b.column(1).to_pylist())):
-                    ids += END.to_bytes(4, "little")
-                    yield doc, 0, ids, len(ids) // 4
+            for whole in batches:
+                for b in common.slices(whole, 1):
+                    for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).encode(b.column(1).to_pylist())):
+                        ids += END.to_bytes(4, "little")
+                        yield doc, 0, ids, len(ids) // 4
 
         yield from _stream(pieces(), task, task * SPAN, length, windows, False)
 
@@ -206,7 +259,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = O
 
         return run
 
-    common.small_batches(spark)
     now = common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first_level, PIECE), "packed")
     done, base = [], SPAN * SPAN // 4
     tasks = (now.agg(F.max("task").alias("t")).first()["t"] or 0) + 1

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 from incognita.llm import common, decontaminate, fingerprint, language_id, lm_score, near_dedup, packing, queries
 
@@ -51,8 +52,9 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, width, percent):
+@pytest.mark.parametrize("width,percent,hot", [(3, 85, 200), (5, 80, 200), (3, 85, 5)])
+def test_near_duplicates_equal_brute_force(spark, width, percent, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     draw = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -66,6 +68,21 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert found == brute_components(rows, width, percent)
 
 
+def test_a_large_near_copy_group_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(near_dedup, "CELL", 20)
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(3000)}" for _ in range(90)]
+    rows = []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(draw.choice([1, 2, 3, 5, 9])):
+            copy[draw.randrange(90)] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs_of(spark, rows), 3, 85).collect()}
+    assert found == brute_components(rows, 3, 85)
+
+
 def test_near_duplicates_edge_rows(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d")]
     found = sorted(map(tuple, near_dedup.near_duplicates(docs_of(spark, rows), 3, 85).collect()), key=str)
@@ -184,13 +201,13 @@ def test_the_model_beats_the_base_on_held_out_documents(spark):
 
 
 def check_packing(rows, found, path):
-    encoder, by_doc, by_seq = packing.Encoder(path), collections.defaultdict(list), collections.defaultdict(list)
+    plain, by_doc, by_seq = Tokenizer.from_file(path), collections.defaultdict(list), collections.defaultdict(list)
     for r in found:
         by_doc[r.doc_id].append(r)
         by_seq[r.sequence_id].append(r)
     assert set(by_doc) == {i for i, _ in rows}
     for i, t in rows:
-        whole = [e for e in encoder.tokenizer.encode(t or "", add_special_tokens=False).ids] + [1]
+        whole = plain.encode(t or "", add_special_tokens=False).ids + [1]
         at = 0
         for r in sorted(by_doc[i], key=lambda r: r.start):
             assert (r.start, r.doc_tokens) == (at, len(whole)) and r.length > 0
@@ -209,12 +226,28 @@ def check_packing(rows, found, path):
 
 
 def test_packing_keeps_every_token_once(spark, corpus):
-    rows = [*corpus, (9000, None), (9001, ""), (9002, "<|endoftext|> é́ x" * 2000), (9003, "don't. It's, a,b. c.\u0301 &&&, 12. X., ÀB. o\u0308. end."), (9004, "\u0301a.\x0bb,\x1cc")]
+    rows = [*corpus, (9000, None), (9001, ""), (9002, "<|endoftext|> é́ x" * 2000), (9005, "a <|endoftext|>b.<|startoftext|>. c"), (9006, "<|endoftext|>"), (9007, "<|ENDOFTEXT|> A.<|endoftext|>"), (9008, ("w" * 90 + " ") * 300), (9003, "don't. It's, a,b. c.\u0301 &&&, 12. X., ÀB. o\u0308. end."), (9004, "\u0301a.\x0bb,\x1cc")]
     path = queries.word_bpe()
     check_packing(rows, packing.pack(docs_of(spark, rows).repartition(7), path).collect(), path)
     assert packing.pack(docs_of(spark, []), path).count() == 0
 
 
+def test_long_texts_are_encoded_in_pieces(corpus, monkeypatch):
+    import time
+
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    path, plain = queries.word_bpe(), Tokenizer.from_file(queries.word_bpe())
+    texts = [*(t for _, t in corpus[:20]), "a, b.  c." * 50, "x" * 500 + " y. " + "z" * 400, ". " * 80, "", None, " <|endoftext|> " * 20]
+    assert [len(x) // 4 for x in packing.Encoder(path).encode(texts)] == [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(packing, "CACHED", 300)
+    small = packing.Encoder(path)
+    for t in texts:
+        assert small.encode([t])[0] == b"".join(i.to_bytes(4, "little") for i in plain.encode(t or "", add_special_tokens=False).ids)
+    began, packer = time.time(), packing.Packer()
+    packer.add(1, 0, b"abcd" * 20_000_000, 20_000_000)
+    assert time.time() - began < 5 and sum(len(p[0][2]) for p in packer.take()) + len(packer.open[0][1][0][2]) == 80_000_000
+
+
 def test_packing_merges_leftovers_level_by_level(spark, corpus, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 2)
     path = queries.word_bpe()
@@ -246,6 +279,16 @@ def test_decontamination_equals_exact_containment(spark):
     assert decontaminate.contained(docs_of(spark, rows), table.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_ids_are_one_document_or_item(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(20)) for p in "ab")
+    items = spark.createDataFrame([(1, a), (1, b), (2, a), (2, a)], "item_id long, text string")
+    docs = docs_of(spark, [(1, f"x {a} y"), (1, f"x {b} y"), (2, a), (2, a), (3, b)])
+    found = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contained(docs, items).collect()}
+    assert found == {(1, 1, 32, 32), (1, 2, 16, 16), (2, 2, 16, 16)}
+    long = docs_of(spark, [(1, "pad " * 400_000 + a)])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contained(long, items).collect()] == [(1, 2)]
+
+
 def test_fingerprints_of_edited_texts(spark, corpus, monkeypatch):
     monkeypatch.setattr(fingerprint, "STRETCH", 9)
     rows = [*corpus, (9000, None), (9001, ""), (9002, "a"), (9003, "a b c d e f g")]
@@ -262,6 +305,8 @@ def test_fingerprints_of_edited_texts(spark, corpus, monkeypatch):
         a, b = shingle_set(t, 5), shingle_set(changed, 5)
         if len(a) > 400:
             assert abs(r.near_edited - len(a & b) / min(len(a), len(b))) < 0.15
+        elif 0 < len(a) <= fingerprint.FEW and 0 < len(b) <= fingerprint.FEW:
+            assert r.near_edited == len(a & b) / min(len(a), len(b))
 
 
 def test_fingerprint_edge_rows_and_merging(spark):
@@ -277,6 +322,33 @@ def test_fingerprint_edge_rows_and_merging(spark):
     assert (fingerprint.read(fingerprint.write(both)) == both).all()
 
 
+def test_sketches_of_unequal_documents_are_compared_where_both_are_whole():
+    words_of = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    short, long, other = fingerprint.sketch([words_of("a", 40), f"{words_of('b', 3000)} {words_of('a', 40)} {words_of('c', 3000)}", words_of("d", 40)])
+    assert len(short) == 36 and len(long) < 2000 and fingerprint.likeness(short, long) == 1.0 and fingerprint.likeness(other, long) == 0.0
+    assert fingerprint.likeness(short, other) == 0.0 and fingerprint.likeness(short, short) == 1.0
+    parts = fingerprint.sketch([words_of("a", 50), words_of("b", 50), words_of("e", 5)])
+    whole = fingerprint.merge(fingerprint.merge(parts[0], parts[2]), parts[1])
+    assert len(whole) < 93 and fingerprint.likeness(whole, fingerprint.merge(*parts[:2])) == 1.0
+    assert (fingerprint.merge(parts[0], fingerprint.sketch([""])[0]) == parts[0]).all()
+
+
+def test_rows_of_one_id_are_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "STRETCH", 20)
+    texts = [f"text number {i} of some" for i in range(300)]
+    rows = [(None, t) for t in texts[:150]] + [(7, t) for t in texts[150:]] + [(7, texts[299])] * 3
+    found = fingerprint.edit_likeness(docs_of(spark, rows).repartition(5))
+    assert found.count() == len(rows) and found.where("doc_id is null").count() == 150
+    assert found.where("edited_sha256 is null or near_next is null").count() == 0
+
+
+def test_the_plan_of_many_documents_is_small(spark):
+    docs = spark.range(1_000_000).selectExpr("id as doc_id", "concat('w', id) as text")
+    found = fingerprint.edit_likeness(docs)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 2_000_000
+    assert found.where("near_next < 0").count() == 0
+
+
 def test_words_are_runs_without_ascii_space():
     texts = ["A b\tC\x1cd", "", None, " x  ", "É é"]
     h, n = common.word_hashes(texts, bytes_at_once=8)
