@@ -113,7 +113,7 @@ def unskewed(many: DataFrame, one: DataFrame, key: list[str], rows: str, total:
     """
     is_hot = often(F.col(rows), total)
     hot = one.where(is_hot)
-    if hot.isEmpty():
+    if total < HOT_ROWS or hot.isEmpty():
         return many.join(one, key, how)
     rest = many.join(F.broadcast(hot.select(*key)), key, "left_anti").join(one.where(~is_hot), key, how)
     return rest.unionByName(many.join(F.broadcast(hot), key, "left_semi" if how == "left_semi" else "inner"))

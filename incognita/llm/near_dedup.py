@@ -6,11 +6,11 @@ counts give a collision-corrected estimate of the similarity of two documents wi
 
 Candidates don't grow with the square of a bucket: each bucket has a hub of its own and its members are held against hubs
 only. The best-looking of these pairs are confirmed on full sets and the links contracted to components. Buckets that still
-span several components are gone through in rounds: one representative of each component is held against that of another,
+span several components are gone through in rounds: one representative of each component is held against those of a few,
 by longer signatures, whose errors are small, then by full sets; links are contracted and the buckets looked at again.
 Once a round finds no link (or after ``ROUNDS``), what is left in buckets of several components is similar but mostly not
-linked; these members are held against each other by their signatures, a bucket's pairs spread over cells of bounded size,
-and pairs near the threshold are confirmed on full sets, which makes the result whole.
+linked; these members are held against each other by their signatures, a bucket's pairs spread over cells of bounded size
+and each pair in one bucket, and pairs near the threshold are confirmed on full sets, which makes the result whole.
 
 Hot keys never meet in a task: joins on buckets, hubs, components and sets treat keys with many rows apart (see
 ``common.unskewed``) or deal their rows over several copies of the other side.
@@ -46,8 +46,9 @@ MISS = 1e-6
 MARGIN = 4.0
 #: Pairs of a document that are confirmed first; the rounds see all that remain.
 FIRST = 4
-#: Rounds of representatives before all members left are compared.
-ROUNDS = 2
+#: Rounds of representatives before all members left are compared, and components of a bucket that the others meet.
+ROUNDS = 1
+HUBS = 4
 #: Members of a bucket that make a cell when they are compared with each other.
 CELL = 256
 #: Links that a task handles when components are sought.
@@ -291,7 +292,7 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands
 
     still = _open(buckets.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
     common.drop(buckets)
-    sharp = common.cut(sharper(docs, classes.join(still.select("node").distinct(), "node", "left_semi"), width).join(classes.select("node", "n"), "node"), "sharp")
+    sharp = common.cut(sharper(docs, classes.join(still.select("node").distinct(), "node", "left_semi"), width).join(classes.select("node", "n", "bands"), "node"), "sharp")
     likely = _sized(percent) & (estimate(F.col("sharp_a"), F.col("sharp_b"), SHARP, SHARP_BITS) >= floor(threshold, SHARP, SHARP_BITS))
     bridges: list[DataFrame] = []
 
@@ -308,12 +309,12 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands
             break
         drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node"))
         one = common.cut(now.groupBy("key", "c").agg(drawn.alias("x")).select("key", F.col("c").alias("c_a"), F.col("x.node").alias("a")), "representatives")
-        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "c_a").alias("h"), F.col("a").alias("b"), F.col("c_a").alias("c_b")))
-        hub = one.groupBy("key").agg(hub.alias("x"), F.count("*").alias("rows")).select("key", "rows", "x.b", "x.c_b")
-        pairs = common.unskewed(one, hub, ["key"], "rows", one.count()).where("a <> b").select("a", "b", "c_a", "c_b").distinct()
-        pairs = common.cut(pairs, "pairs")
-        links = _confirmed(docs, classes, _described(pairs, sharp).where(likely), width, percent, ["c_a", "c_b"])
-        common.drop(one, pairs)
+        draws = [F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "c_a").alias("h"), F.col("a").alias("b"), F.col("c_a").alias("c_b"))) for k in range(HUBS)]
+        hubs = common.cut(one.groupBy("key").agg(F.array(*draws).alias("hubs"), F.count("*").alias("rows")), "hubs")
+        met = common.unskewed(one, hubs, ["key"], "rows", one.count()).select("a", "c_a", F.explode("hubs").alias("x")).select("a", "c_a", "x.b", "x.c_b")
+        pairs = common.cut(met.where("a <> b").select("a", "b", "c_a", "c_b").distinct(), "pairs")
+        links = _confirmed(docs, classes, _described(pairs, sharp.drop("bands")).where(likely), width, percent, ["c_a", "c_b"])
+        common.drop(one, hubs, pairs)
         if links.isEmpty():
             break
         bridges.append(links)
@@ -364,12 +365,12 @@ def _across(still: DataFrame, sharp: DataFrame, likely: Column) -> DataFrame:
     sizes = still.groupBy("key").agg(F.count("*").alias("rows"))
     dealt = common.unskewed(still, sizes, ["key"], "rows", still.count()).withColumn("cells", F.ceil(F.col("rows") / CELL).cast("int"))
     dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).join(sharp, "node")
-    side = lambda x: [F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "sharp"))]
+    side = lambda x: [F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "sharp", "bands"))]
     first = dealt.select("key", F.col("cell").alias("lo"), F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)).alias("hi"), *side("a"))
     second = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("cell"))).alias("lo"), F.col("cell").alias("hi"), *side("b"))
     once = (F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))
-    pairs = first.join(second, ["key", "lo", "hi"]).where(once & (F.col("c_a") != F.col("c_b")) & likely)
-    return pairs.select("a", "b", "c_a", "c_b").distinct()
+    here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")  # of the buckets that both are in, one tells
+    return first.join(second, ["key", "lo", "hi"]).where(once & (F.col("c_a") != F.col("c_b")) & likely & here).select("a", "b", "c_a", "c_b")
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width: int, percent: int, more: Sequence[str] = ()) -> DataFrame:
@@ -385,13 +386,14 @@ def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width
     def with_sets(x: DataFrame, side: str, other: str) -> DataFrame:
         own = sets.select(F.col("node").alias(side), F.col("members").alias(f"of_{side}"))
         rows = c.groupBy(side).agg(F.count("*").alias("rows")).where(common.often(F.col("rows"), total))
+        parts = common.partitions_for(docs.sparkSession)  # sets take long to compare for their size, so tasks aren't merged
         if rows.isEmpty():
-            return x.join(own, side)
+            return x.repartition(parts, side).join(own, side)
         often = F.broadcast(rows.select(side, F.ceil(F.col("rows") * common.HOT / total).cast("int").alias("copies")))
         copies = F.coalesce("copies", F.lit(1))
         own = own.join(often, side, "left").select(side, f"of_{side}", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
         dealt = x.join(often, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
-        return dealt.join(own, [side, "copy"]).drop("copy")
+        return dealt.repartition(parts, side, "copy").join(own, [side, "copy"]).drop("copy")
 
     x = with_sets(with_sets(c, "a", "b"), "b", "a")
     both = F.size(F.array_intersect("of_a", "of_b"))
