@@ -8,11 +8,11 @@ import logging
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import normalize
-from .operators import rewrite
+from .operators import ner, rewrite
 from .plans.pipeline import Engine
 from .sources import lexicon, readers
 
@@ -24,7 +24,9 @@ def parse(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--output", required=True, help="text file to write")
     p.add_argument("--mapping", help="JSON file to write the aliases to")
     p.add_argument("--load-mapping", help="JSON file of an earlier run's aliases")
-    p.add_argument("--rules", help="YAML file of further rules")
+    p.add_argument("--rules", help="YAML file of rules in place of the shipped ones")
+    p.add_argument("--more-rules", help="YAML file of rules beside the shipped ones")
+    p.add_argument("--model", help="named-entity model: a transformer's name or folder, or module:function that loads one; patterns if not given")
     p.add_argument("--gazetteers", help="folder of CSV files in place of the shipped names")
     p.add_argument("--profile", default="faithful", choices=["faithful", "repaired"])
     p.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING"])
@@ -47,20 +49,27 @@ def main(argv: list[str] | None = None) -> int:
         restored = docs.crossJoin(table).select(rewrite.restored(normalize(F.col("text")), F.col("aliases")).alias("t")).first().t
         Path(o.output).write_text(restored, encoding="utf-8")
         return 0
-    gazetteers, exclusions = dict(lexicon.GAZETTEERS), lexicon.EXCLUSIONS
+    gazetteers, exclusions = lexicon.GAZETTEERS, lexicon.EXCLUSIONS
     if o.gazetteers:
-        gazetteers = {}
-        for r in readers.read_gazetteers(spark, o.gazetteers).collect():
-            gazetteers.setdefault(r.gazetteer, []).append((r["name"], r.category))
-        exclusions = [n for n, _ in gazetteers.pop("gazetteer_exclusions", [])]
-    extra = readers.read_rules(Path(o.rules).read_text(encoding="utf-8")) if o.rules else {}
+        table = readers.read_gazetteers(spark, str(Path(o.gazetteers).resolve()))
+        gazetteers = table.where("gazetteer <> 'gazetteer_exclusions'")
+        exclusions = [r["name"] for r in table.where("gazetteer = 'gazetteer_exclusions'").collect()]
+    extra: dict[str, dict[str, list[str]]] = {}
+    for path in (o.rules, o.more_rules):
+        for family, categories in (readers.read_rules(Path(path).read_text(encoding="utf-8-sig")) if path else {}).items():
+            for category, patterns in categories.items():
+                extra.setdefault(family, {}).setdefault(category, []).extend(patterns)
     base: dict[str, int] = {}
     for r in known:
         base[r.prefix] = max(base.get(r.prefix, 0), r.n)
     forward = F.lit(json.dumps({r.original: r.alias for r in known}))
-    engine = Engine(profile=o.profile, extra=extra, gazetteers=gazetteers, exclusions=exclusions)
-    done = engine.pseudonymized(docs, F.from_json(forward, "map<string,string>"), F.from_json(F.lit(json.dumps(base)), "map<string,bigint>")).first()
+    backend = ner.model_backend(ner.loader(o.model)) if o.model else ner.heuristic
+    stages: dict[str, Observation] = {}
+    engine = Engine(profile=o.profile, extra=extra, shipped=not o.rules, gazetteers=gazetteers, exclusions=exclusions, backend=backend, watch=stages)
+    done = engine.pseudonymized(docs, F.from_json(forward, "map<string,string>"), F.from_json(F.lit(json.dumps(base)), "map<string,bigint>")).collect()[0]
     Path(o.output).write_text(done.output, encoding="utf-8")
+    for stage, observed in stages.items():
+        logging.info("%s: %d entities", stage, observed.get["entities"])
     if o.mapping:
         rows = [*map(tuple, known), *((a.original, a.alias, a.prefix, a.n) for a in done.aliases)]
         entries = spark.createDataFrame([(0, *r) for r in rows], "doc_id long, original string, alias string, prefix string, n long")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import spans
+from ..functions.spans import spans, words_of
 from ..functions.text import strip
 from ..sources import catalog, lexicon
 from .entities import ENTITIES, changed, entity, let, none, numbered
 
-#: Gazetteer entries that may be a constant of the plan.
+#: Gazetteer entries that may be a constant of the plan; more are joined with the texts' words.
 LITERAL_ENTRIES = 5000
 _RULE = "array<struct<label:string,category:string,pattern:string,geo:boolean,anchors:array<string>>>"
 _NAME = "array<struct<label:string,category:string,pattern:string,anchors:array<string>,least:int>>"
@@ -76,30 +76,63 @@ def first_word(name: str) -> list[str]:
     return [word] if word else []
 
 
+def _entry(name: str, category: str) -> dict:
+    return {
+        "label": "ETAB" if category.startswith("ETAB_") else "ORG",
+        "category": category,
+        "pattern": rf"(?iuU)\b\Q{name}\E\b",
+        "anchors": first_word(name),
+        "least": 1 if category.endswith("_CP") else 2,
+    }
+
+
+def _named(text: Column, entries: Column) -> Column:
+    """The matches of gazetteer entries in a text, in the entries' order."""
+
+    def of_name(t: Column, r: Column) -> Column:
+        found = F.filter(spans(t, r["pattern"]), lambda s: F.length(strip(s["text"])) >= r["least"])
+        return F.transform(found, lambda s: entity(start=s["start"], end=s["end"], text=strip(s["text"]), label=r["label"], source=F.lit("GAZETTEER"), category=r["category"], score=F.lit(1.0)))
+
+    return F.flatten(F.transform(entries, lambda r: of_name(text, r)))
+
+
+def size_of(gazetteers: dict[str, list[tuple[str, str]]]) -> int:
+    """The number of entries."""
+    return sum(map(len, gazetteers.values()))
+
+
 def gazetteer_entities(text: Column, held: Column, gazetteers: dict[str, list[tuple[str, str]]]) -> Column:
     """The names of all gazetteers, in any case, between word boundaries; gazetteers in the order of their names."""
-    entries = [
-        {
-            "label": "ETAB" if category.startswith("ETAB_") else "ORG",
-            "category": category,
-            "pattern": rf"(?iuU)\b\Q{name}\E\b",
-            "anchors": first_word(name),
-            "least": 1 if category.endswith("_CP") else 2,
-        }
-        for _, names in sorted(gazetteers.items())
-        for name, category in names
-    ]
+    entries = [_entry(name, category) for _, names in sorted(gazetteers.items()) for name, category in names]
     if len(entries) > LITERAL_ENTRIES:
         raise ValueError(f"{len(entries)} gazetteer entries; at most {LITERAL_ENTRIES} can be a constant of the plan")
-    if not entries:
-        return none()
-    table = _constant(entries, _NAME)
+    return _named(text, _active(_constant(entries, _NAME), held)) if entries else none()
 
-    def of_name(t: Column, r: Column) -> Column:
-        found = F.filter(spans(t, r["pattern"]), lambda s: F.length(strip(s["text"])) >= r["least"])
-        return F.transform(found, lambda s: entity(start=s["start"], end=s["end"], text=strip(s["text"]), label=r["label"], source=F.lit("GAZETTEER"), category=r["category"], score=F.lit(1.0)))
 
-    return F.flatten(F.transform(_active(table, held), lambda r: of_name(text, r)))
+def joined_entities(docs: DataFrame, gazetteers: DataFrame) -> DataFrame:
+    """The documents with the column ``names``: what ``gazetteer_entities`` finds, for gazetteers of any size.
+
+    ``gazetteers`` has rows (gazetteer, name, category), matched in the order of gazetteer, name and category. A text that
+    holds a name holds its words; each name is sought under that of its words which the fewest names have. Words of
+    texts are joined with the names under a digest of the text, of whose rows each task sends a name once; then texts move
+    once to what was found for them. Names without a word are tried on all texts, and must be few. Rows that repeat a name
+    are sought once.
+    """
+    least = F.when(F.col("category").endswith("_CP"), 1).otherwise(2)
+    label = F.when(F.col("category").startswith("ETAB_"), "ETAB").otherwise("ORG")
+    pattern = F.concat(F.lit("(?iuU)\\b\\Q"), "name", F.lit("\\E\\b"))
+    order = F.struct("gazetteer", "name", "category")
+    table = gazetteers.select(order.alias("order"), F.struct(label.alias("label"), "category", pattern.alias("pattern"), F.array().cast("array<string>").alias("anchors"), least.alias("least")).alias("entry"), F.filter(words_of(F.col("name")), lambda w: w != "").alias("words"))
+    each = table.select("order", "entry", F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = each.join(counts, "word").groupBy("order", "entry").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    digest = F.sha2("text", 256)
+    texts = docs.select(digest.alias("key"), F.explode(words_of(F.col("text"))).alias("word"))
+    found = texts.join(rarest, "word").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("order", "entry"))).alias("found"))
+    wordless = table.where(F.size("words") == 0).agg(F.array_sort(F.collect_list(F.struct("order", "entry"))).alias("wordless"))
+    both = docs.withColumn("key", digest).join(found, "key", "left").crossJoin(F.broadcast(wordless))
+    entries = F.array_sort(F.concat(F.coalesce("found", F.slice("wordless", 1, 0)), F.col("wordless")))
+    return both.withColumn("names", _named(F.col("text"), F.transform(entries, lambda x: x["entry"]))).drop("key", "found", "wordless")
 
 
 def ner_entities(text: Column, annotations: Column) -> Column:

@@ -6,6 +6,8 @@ in Python workers.
 
 from __future__ import annotations
 
+import importlib
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import spans
 
+log = logging.getLogger(__name__)
 ANNOTATIONS = "array<struct<start:int,end:int,label:string,score:double>>"
 CHUNKS = "array<struct<text:string,start:int,end:int>>"
 # Patterns of the heuristic backend, by label.
@@ -60,7 +63,7 @@ def chunks(text: Column, max_tokens: int = 400, overflow: int = 50, tokens: Call
 
 
 def sentences(text: Column) -> Column:
-    """Chunks of one sentence each, placed by looking for it from the end of the one before."""
+    """Chunks of one sentence each, sought from the sum of the lengths of those before (white space between them left out)."""
     zero = F.struct(F.array().cast(CHUNKS).alias("out"), F.lit(1).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -87,7 +90,20 @@ def heuristic(text: Column, patterns: dict[str, str] = HEURISTICS) -> Column:
     return F.concat(*found).cast(ANNOTATIONS)
 
 
-def by_model(chunked: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]]) -> DataFrame:
+Model = Callable[[list[str]], list[list[dict]]]
+
+
+def _found(model: Model, text: str, at: int) -> list[tuple[int, int, str, float]]:
+    """A chunk's annotations with the document's offsets; none if the model fails on it."""
+    try:
+        found = model([text])[0]
+    except Exception:  # noqa: BLE001 - a chunk's failure isn't the document's
+        log.warning("the model failed on a chunk of %d characters", len(text), exc_info=True)
+        return []
+    return [(at + int(e["start"]), at + int(e["end"]), e["entity_group"], float(e.get("score", 0.0))) for e in found if e.get("start") is not None and e.get("end") is not None]
+
+
+def by_model(chunked: DataFrame, load: Callable[[], Model]) -> DataFrame:
     """(doc_id, start, end, label, score) of chunks (doc_id, chunk_text, chunk_start) by a model.
 
     ``load`` is called once in a Python worker's task and gives a function from texts to annotations (entity_group, start,
@@ -97,18 +113,47 @@ def by_model(chunked: DataFrame, load: Callable[[], Callable[[list[str]], list[l
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for b in batches:
-            out = []
-            for doc, text, at in zip(b["doc_id"], b["chunk_text"], b["chunk_start"]):
-                try:
-                    found = model([text])[0]
-                except Exception:  # noqa: BLE001 - a chunk's failure isn't the document's
-                    found = []
-                out += [(doc, at + int(e["start"]), at + int(e["end"]), e["entity_group"], float(e.get("score", 0.0))) for e in found if e.get("start") is not None and e.get("end") is not None]
+            out = [(doc, *e) for doc, text, at in zip(b["doc_id"], b["chunk_text"], b["chunk_start"]) for e in _found(model, text, at)]
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "label", "score"])
 
     return chunked.select("doc_id", "chunk_text", "chunk_start").mapInPandas(run, "doc_id long, start int, end int, label string, score double")
 
 
+def model_backend(load: Callable[[], Model], cut: Callable[[Column], Column] = chunks) -> Callable[[Column], Column]:
+    """A backend for ``Engine`` from a model: texts are cut into chunks, annotated in Python workers, offsets moved.
+
+    ``load`` is as in ``by_model``; documents stay rows and nothing is joined. A null text has no annotations.
+    """
+
+    @F.pandas_udf(ANNOTATIONS)
+    def annotate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for b in batches:
+            yield pd.Series([[e for c in (pieces if pieces is not None else []) for e in _found(model, c["text"], int(c["start"]))] for pieces in b], dtype=object)
+
+    return lambda text: annotate(cut(text))
+
+
+def transformer(name: str) -> Callable[[], Model]:
+    """The loader of a token-classification model of the ``transformers`` package, by name or folder.
+
+    The package is imported in the workers, where the model runs.
+    """
+
+    def load() -> Model:
+        from transformers import pipeline
+
+        return pipeline("token-classification", model=name, aggregation_strategy="simple")
+
+    return load
+
+
+def loader(spec: str) -> Callable[[], Model]:
+    """The loader that a command line names: ``module:function`` of this installation, else a transformer's name."""
+    module, colon, function = spec.partition(":")
+    return getattr(importlib.import_module(module), function) if colon else transformer(spec)
+
+
 def annotated(docs: DataFrame, annotations: DataFrame) -> DataFrame:
     """The documents with the column ``ner``: a table of annotations (doc_id, start, end, label, score), in order of start."""
     each = annotations.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "score"))).cast(ANNOTATIONS).alias("ner"))

@@ -5,6 +5,11 @@ The same rows are built in Spark and written as VALUES in the reference SQL.
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 DOCS = [
@@ -55,7 +60,52 @@ NER = [
 KNOWN = [("CAF de Paris", "<ORG_CAF_1>", "ORG_CAF", 1), ("115", "<PHONE_7>", "PHONE", 7)]
 #: Dates and times have no shipped rules; these stand for a user's.
 EXTRA_RULES = {"date_regex": {"DATE": [r"\b\d{1,2}/\d{1,2}/\d{4}\b"]}, "time_regex": {"TIME": [r"\b\d{1,2}h\d{2}\b"]}}
-EXTRA_DOCS = [(-21, "le 12/03/2021 à 14h30, puis 1/2/2022 vers 9h05")]
+EXTRA_DOCS = [
+    (-21, "le 12/03/2021 à 14h30, puis 1/2/2022 vers 9h05"),
+    (-22, "la PrÃ©fecture, la SociÃ©tÃ© GÃ©nÃ©rale du Nord, un Ã‰SAT ; HÃ´pital Nord, Croix-Rouge franÃ§aise, la Préfecture"),
+]
+#: Files as users write them, and what is read from them.
+CSV = {
+    "gazetteer_untidy": 'name,category,reason\n  Foyer Bleu ,ETAB_MAS , x\n"Dupont, Fils",ORG_X,\n,ORG_Y,no name\nNom,,no category\n',
+    "keywords": "category,keyword\nORG_Z, Vert\n",
+    "other": "word\nx\n",
+}
+CSV_ENTRIES = [("gazetteer_untidy", "Foyer Bleu", "ETAB_MAS"), ("gazetteer_untidy", "Dupont, Fils", "ORG_X"), ("keywords", "Vert", "ORG_Z")]
+YAML = """\ufeff# rules of a user
+date_regex:
+  DATE: ['\\b\\d{1,2}/\\d{1,2}/\\d{4}\\b', '(']
+  EMPTY:
+time_regex: {TIME: ["\\\\b\\\\d{1,2}h\\\\d{2}\\\\b"]}
+profession_regex: {JOB: ['chef']}
+org_regex:
+  ORG_CAF: ['\\bCAF du \\d+\\b']
+  ORG_OWN: ['[', '\\bOwn\\b', '\\bMine\\b']
+"""
+#: family, categories and patterns in force with these rules beside the shipped ones.
+RULES = [("org_regex", 54, 120), ("etab_categories", 42, 71), ("date_regex", 1, 1), ("phone_regex", 1, 3), ("nir_regex", 1, 1), ("time_regex", 1, 1), ("email_regex", 1, 1)]
+JSON = '{"reverse": {}, "forward": {"CAF de Paris": "<ORG_CAF_1>",\n  "115": "<PHONE_7>", "caf\\u00e9 \\"x\\"": "<ETAB_A_12>"}}'
+JSON_ENTRIES = [*KNOWN, ('café "x"', "<ETAB_A_12>", "ETAB_A", 12)]
+DOCX = ["<w:r><w:t>Premier</w:t></w:r>", "", "<w:r><w:t>Deux</w:t><w:tab/><w:t>mots &amp; </w:t></w:r><w:r><w:t>fin</w:t><w:br/></w:r>"]
+DOCX_TEXTS = [("a.docx", "Premier\n\nDeux\tmots & fin\n"), ("b.docx", None)]
+
+
+def docx() -> bytes:
+    """The fixture's DOCX file."""
+    out = io.BytesIO()
+    body = "".join(f"<w:p>{p}</w:p>" for p in DOCX)
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def leading_word() -> Callable[[list[str]], list[list[dict]]]:
+    """Loads what stands for a model: it takes the letters that a chunk begins with for a person."""
+
+    def model(texts: list[str]) -> list[list[dict]]:
+        found = [re.match("[A-Za-z]+", t) for t in texts]
+        return [[{"entity_group": "PER", "start": 0, "end": m.end(), "score": 0.5}] if m else [] for m in found]
+
+    return model
 
 
 def documents(spark: SparkSession) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions.spans import AT, DIGITS
+from ..functions.spans import MISREAD
 from ..operators.ner import HEURISTIC_SCORE, HEURISTICS
 from ..sources import catalog, lexicon
 from . import fixtures
@@ -50,15 +50,25 @@ NORM = f"translate(nfc_normalize(translate(coalesce(text, ''), {q(lexicon.QUOTES
 SHADOW = r"regexp_replace({}, '[^\x00-\x7F\pP\pS\pZ\pC]', '_', 'g')"
 
 DOCS = f"docs AS (SELECT doc_id, text FROM documents UNION ALL {values(fixtures.DOCS + fixtures.EXTRA_DOCS)})"
-NORMALIZED = f"""norm AS MATERIALIZED (SELECT doc_id, t, {SHADOW.format("t")} AS a,
+NORMALIZED = f"""norm AS MATERIALIZED (SELECT doc_id, t, {SHADOW.format("t")} AS a, {SHADOW.format("translate(t, 'ÃãÅåâ', 'QqWw_')")} AS w,
   {SHADOW.format("regexp_replace(regexp_replace(t, '[ÉÈÀÂÎÙÔÇ]', 'E', 'g'), '[À-ÖØ-öø-ÿ]', 'x', 'g')")} AS g
   FROM (SELECT doc_id, {NORM} AS t FROM docs))"""
 
 
-def _matches(key: str, column: str, pattern: str, options: str, anchors: tuple[str, ...] = ()) -> str:
-    words = [a for a in anchors if a not in (AT, DIGITS)]
-    where = f" WHERE {any_of(f'lower({column})', words)}" if words else ""
-    return f"SELECT doc_id, {key}, regexp_extract_all({column}, {q(pattern)}, 0, {q(options)}) AS m, string_split_regex({column}, {q(pattern)}, {q(options)}) AS s FROM norm{where}"
+def _matches(key: str, column: str, pattern: str, options: str) -> str:
+    found = f"regexp_matches({column}, {q(pattern)}, {q(options)})"
+    return f"SELECT doc_id, {key}, regexp_extract_all({column}, {q(pattern)}, 0, {q(options)}) AS m, string_split_regex({column}, {q(pattern)}, {q(options)}) AS s FROM norm WHERE {found}"
+
+
+#: Letters of misread texts, and letters that stand for them where words are ASCII.
+_MISREAD = ("ÃãÅåâ", "QqWw_")
+
+
+def _rule(r: catalog.Rule) -> str:
+    options = "i" if r.ignore_case else "c"
+    if MISREAD in r.anchors:
+        return _matches(f"{r.seq} AS rule", "w", r.pattern.translate(str.maketrans(*_MISREAD)), options)
+    return _matches(f"{r.seq} AS rule", "a", r.pattern, options)
 
 
 _PLACES = "(list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::INT"
@@ -73,7 +83,7 @@ def detection() -> list[str]:
     """CTEs up to ``cand``: doc_id, seq, b, e, x (text), label, source, category, score."""
     rules = catalog.rules("faithful", fixtures.EXTRA_RULES)
     table = [(r.seq, r.label, r.category, int(r.extend_geo)) for r in rules]
-    hits = [_matches(f"{r.seq} AS rule", "a", r.pattern, "i" if r.ignore_case else "c", r.anchors) for r in rules]
+    hits = [_rule(r) for r in rules]
     names = [(n, i, "ETAB" if c.startswith("ETAB_") else "ORG", c) for i, (n, c) in enumerate((n, c) for _, entries in sorted(lexicon.GAZETTEERS.items()) for n, c in entries)]
     heuristics = [_matches(f"{q(label)} AS label, {k} AS rule", "a", p, "c") for k, (label, p) in enumerate(HEURISTICS.items())]
     return [
@@ -219,21 +229,64 @@ REWRITE = [*RESOLVE, *rewriting()]
 COLUMNS = "doc_id, b AS start_pos, e AS end_pos, x AS entity, label, source, category"
 
 
-def chunked() -> str:
-    """Chunks of documents by recursion over sentences."""
+def _chunks() -> list[str]:
+    """CTEs up to ``off``: chunks of documents with their places, by recursion over sentences."""
     tokens = r"len(regexp_extract_all(s, '\S+'))"
     full = "(p.n >= 400 OR p.n + y.n > 450)"
     ended = "CASE WHEN now LIKE '%.' THEN now ELSE now || '.' END"
+    return [
+        DOCS,
+        NORMALIZED,
+        f"sent AS MATERIALIZED (SELECT doc_id, i, s, {tokens} AS n FROM (SELECT doc_id, unnest(string_split(t, '. ')) AS s, generate_subscripts(string_split(t, '. '), 1) AS i FROM norm))",
+        f"""pack AS (SELECT doc_id, i, s AS now, n, 1 AS c FROM sent WHERE i = 1
+  UNION ALL SELECT y.doc_id, y.i, CASE WHEN {full} THEN y.s ELSE p.now || '. ' || y.s END, CASE WHEN {full} THEN y.n ELSE p.n + y.n END, CASE WHEN {full} THEN p.c + 1 ELSE p.c END
+  FROM pack p JOIN sent y ON y.doc_id = p.doc_id AND y.i = p.i + 1)""",
+        f"cut AS (SELECT doc_id, c, {ended} AS chunk FROM (SELECT doc_id, c, arg_max(now, i) AS now FROM pack GROUP BY doc_id, c))",
+        "off AS (SELECT doc_id, c, chunk, coalesce(sum(length(chunk) + 1) OVER (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM cut)",
+    ]
+
+
+def chunked() -> str:
+    """Chunks of documents."""
+    return query(_chunks(), "SELECT doc_id, (c - 1)::INT AS chunk, begun::INT AS start_pos, (begun + length(chunk))::INT AS end_pos, md5(chunk) AS digest FROM off")
+
+
+def modelled() -> str:
+    """The letters that chunks begin with, at their documents' places."""
+    word = "regexp_extract(chunk, '^[A-Za-z]+')"
+    return query(_chunks(), f"SELECT doc_id, begun::INT AS start_pos, (begun + length({word}))::INT AS end_pos, 'PER' AS label FROM off WHERE {word} <> ''")
+
+
+def sentenced() -> str:
+    """Sentences of documents: what lies between white space that follows a full stop, an exclamation or a question mark.
+
+    Each is sought from the sum of the lengths of those before, which leaves out the white space between them.
+    """
     return query(
         [
             DOCS,
             NORMALIZED,
-            f"sent AS MATERIALIZED (SELECT doc_id, i, s, {tokens} AS n FROM (SELECT doc_id, unnest(string_split(t, '. ')) AS s, generate_subscripts(string_split(t, '. '), 1) AS i FROM norm))",
-            f"""pack AS (SELECT doc_id, i, s AS now, n, 1 AS c FROM sent WHERE i = 1
-  UNION ALL SELECT y.doc_id, y.i, CASE WHEN {full} THEN y.s ELSE p.now || '. ' || y.s END, CASE WHEN {full} THEN y.n ELSE p.n + y.n END, CASE WHEN {full} THEN p.c + 1 ELSE p.c END
-  FROM pack p JOIN sent y ON y.doc_id = p.doc_id AND y.i = p.i + 1)""",
-            f"cut AS (SELECT doc_id, c, {ended} AS chunk FROM (SELECT doc_id, c, arg_max(now, i) AS now FROM pack GROUP BY doc_id, c))",
-            "off AS (SELECT doc_id, c, chunk, coalesce(sum(length(chunk) + 1) OVER (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM cut)",
+            r"""parts AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS s FROM norm)""",
+            """placed AS (SELECT doc_id, t, s[k] AS x, coalesce(list_sum(list_transform(s[1:k-1], lambda y: length(y))), 0)::INT AS far FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM parts))""",
+            "found AS (SELECT doc_id, x, far + instr(substr(t, far + 1), x) - 1 AS b FROM placed)",
         ],
-        "SELECT doc_id, (c - 1)::INT AS chunk, begun::INT AS start_pos, (begun + length(chunk))::INT AS end_pos, md5(chunk) AS digest FROM off",
+        "SELECT doc_id, b::INT AS start_pos, (b + length(x))::INT AS end_pos, md5(x) AS digest FROM found",
     )
+
+
+def persons() -> str:
+    """Whether named entities have the form of a person's name, and a person's surroundings."""
+    near = "lower(substr(t, greatest(b - 50, 0) + 1, e + 50 - greatest(b - 50, 0)))"
+    forms = "|".join(f"(?:{p})" for p in lexicon.PERSON_FORMS)
+    tells = []
+    for form in lexicon.PERSON_CONTEXT:
+        before, gap, after = form.partition("{}")
+        tells.append(f"contains({near}, {q(before)} || lower(x) || {q(after)})" if gap else f"contains({near}, {q(form)})")
+    return query(DETECT, f"SELECT doc_id, seq, x AS entity, regexp_matches(x, {q(forms)}) AS person_form, ({' OR '.join(tells)}) AS person_context FROM cand JOIN norm USING (doc_id) WHERE source = 'NER'")
+
+
+def counted() -> str:
+    """How many entities each stage left."""
+    stages = {"candidates": "cand", "filtered": "filt", "classified": "disa", "fused": "fuse", "resolved": "reso", "applied": "done"}
+    counts = " UNION ALL ".join(f"SELECT {q(k)} AS stage, count(*) AS entities FROM {v}" for k, v in stages.items())
+    return query(REWRITE, f"{counts} UNION ALL SELECT 'skipped', (SELECT count(*) FROM reso) - (SELECT count(*) FROM done)")

@@ -5,8 +5,8 @@ Each query runs over the whole ``documents`` table and the fixture documents, wh
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,26 +49,48 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All gazetteer entries."""
-    return readers.gazetteer_table(spark, lexicon.GAZETTEERS)
+    """All entries of a folder of CSV files: the shipped gazetteers and untidy ones."""
+    folder = readers.scratch(spark, "gazetteers")
+    shipped = {g: "name,category\n" + "".join(f'" {n} ",{c} \n' for n, c in entries) for g, entries in lexicon.GAZETTEERS.items()}
+    for name, content in {**shipped, **fixtures.CSV}.items():
+        readers.write_file(spark, f"{folder}/{name}.csv", content)
+    return readers.read_gazetteers(spark, folder)
 
 
 def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns in force by family and category."""
-    table = spark.createDataFrame([(r.family, r.category, r.pattern) for r in catalog.rules()], "family string, category string, pattern string")
-    return table.groupBy("family", "category").agg(F.count("*").alias("n_patterns"))
-
-
-_MAPPING = {
-    "forward": {o: a for o, a, _, _ in fixtures.KNOWN},
-    "reverse": {a: o for o, a, _, _ in fixtures.KNOWN},
-    "counters": {p: n for _, _, p, n in fixtures.KNOWN},
-}
+    """Categories and patterns in force by family, with the rules of a YAML file beside the shipped ones."""
+    path = readers.write_file(spark, readers.scratch(spark, "rules") + ".yaml", fixtures.YAML)
+    rules = catalog.rules(extra=readers.read_rules(readers.read_file(spark, path)))
+    table = spark.createDataFrame([(r.family, r.category, r.pattern) for r in rules], "family string, category string, pattern string")
+    return table.groupBy("family").agg(F.count_distinct("category").alias("n_categories"), F.count("*").alias("n_patterns"))
 
 
 def mapping_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mapping file's entries, with prefixes and numbers read off the aliases."""
-    return readers.mapping_entries(spark.createDataFrame([(json.dumps(_MAPPING),)], "value string"))
+    return readers.read_mapping(spark, readers.write_file(spark, readers.scratch(spark, "mapping") + ".json", fixtures.JSON))
+
+
+def restore_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with the aliases of a mapping file at their ends, restored by it."""
+    one = F.sort_array(F.collect_list(F.struct("original", "alias", "prefix", "n"))).alias("aliases")
+    table = F.broadcast(mapping_load(spark, sf_dir).agg(one))
+    marked = ENGINE.normalized(inputs(spark, sf_dir)).select("doc_id", F.concat("text", F.lit(" <PHONE_7>, <ORG_CAF_1> <PHONE_70> <ETAB_A_12>")).alias("text"))
+    return marked.crossJoin(table).select("doc_id", rewrite.restored(F.col("text"), F.col("aliases")).alias("text"))
+
+
+def docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a folder of DOCX files, one of which isn't one."""
+    folder = readers.scratch(spark, "docx")
+    readers.write_file(spark, f"{folder}/a.docx", fixtures.docx())
+    readers.write_file(spark, f"{folder}/b.docx", b"no archive")
+    return readers.read_docx(spark, folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "text")
+
+
+def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized texts, written and read back."""
+    path = readers.scratch(spark, "texts")
+    readers.write_texts(ENGINE.normalized(inputs(spark, sf_dir)), path)
+    return spark.read.parquet(path)
 
 
 def mapping_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +131,19 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "chunk", F.col("c.start").alias("start_pos"), F.col("c.end").alias("end_pos"), F.md5("c.text").alias("digest"))
 
 
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the normalized texts."""
+    done = ENGINE.normalized(inputs(spark, sf_dir)).select("doc_id", F.explode(ner.sentences(F.col("text"))).alias("c"))
+    return done.select("doc_id", F.col("c.start").alias("start_pos"), F.col("c.end").alias("end_pos"), F.md5("c.text").alias("digest"))
+
+
+def model_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model in Python workers finds in the chunks of the normalized texts, at the documents' places."""
+    backend = ner.model_backend(fixtures.leading_word)
+    done = ENGINE.normalized(inputs(spark, sf_dir)).select("doc_id", F.explode(backend(F.col("text"))).alias("a"))
+    return done.select("doc_id", F.col("a.start").alias("start_pos"), F.col("a.end").alias("end_pos"), "a.label")
+
+
 # --- candidates ---------------------------------------------------------------------------------------------------
 
 
@@ -131,6 +166,24 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(ENGINE.candidates(inputs(spark, sf_dir)), None, F.col("seq"))
 
 
+def gazetteer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gazetteer matches as gazetteers of any size find them: names joined with the texts' words."""
+    engine = replace(ENGINE, gazetteers=readers.gazetteer_table(spark, lexicon.GAZETTEERS))
+    return listed(engine.candidates(inputs(spark, sf_dir)), F.col("source") == "GAZETTEER")
+
+
+def person_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether named entities have the form of a person's name, and a person's surroundings."""
+    docs = ENGINE.candidates(inputs(spark, sf_dir)).select("doc_id", "text", F.explode("entities").alias("e")).where("e.source = 'NER'")
+    context = classify.has_person_context(classify._around(F.col("text"), F.col("e"), 50), F.col("e.text"))
+    return docs.select("doc_id", F.col("e.seq").alias("seq"), F.col("e.text").alias("entity"), classify.is_person_name(F.col("e.text")).alias("person_form"), context.alias("person_context"))
+
+
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entities each stage left, as the stages of one run observed them."""
+    return ENGINE.counted(inputs(spark, sf_dir))
+
+
 def _kept(keep: Callable[[Column, Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return listed(ENGINE.step(ENGINE.candidates(inputs(spark, sf_dir)), lambda t, entities: F.filter(entities, lambda e: keep(t, e))))
@@ -257,6 +310,7 @@ def corpus_alias_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable of (spark, sf_dir)."""
     named = [scan_documents, gazetteer_entries, rule_catalog, mapping_load, mapping_stats, normalize_text, clean_artifacts, fold_for_matching, norm_key, text_predicates, chunk_documents]
+    named += [restore_loaded, docx_scan, text_sink, sentence_chunks, model_annotations, gazetteer_join, person_predicates, stage_counts]
     named += [rules_geo_extended, candidate_union, disambiguate, fuse_type_name, overlap_pairs, entity_priority, resolve_conflicts, entities_by_key]
     named += [pseudonymize_documents, alias_mapping, alias_mapping_incremental, depseudonymize_roundtrip, pseudonymize_occurrence, corpus_alias_mapping]
     found = {f.__name__: f for f in named}
@@ -279,9 +333,17 @@ def oracle_sql() -> dict[str, str]:
     plain = [o.DOCS]
     out = {
         "scan_documents": "SELECT doc_id, text, length(text) AS n_code_points FROM documents",
-        "gazetteer_entries": f"SELECT * FROM ({o.values([(g, n, c) for g, e in lexicon.GAZETTEERS.items() for n, c in e])}) g(gazetteer, name, category)",
-        "rule_catalog": f"SELECT family, category, count(*) AS n_patterns FROM ({o.values([(r.family, r.category, r.pattern) for r in catalog.rules()])}) r(family, category, pattern) GROUP BY ALL",
-        "mapping_load": f"SELECT original, alias, prefix, n FROM ({o.values(fixtures.KNOWN)}) k(original, alias, prefix, n)",
+        "gazetteer_entries": f"SELECT * FROM ({o.values([(g, n, c) for g, e in lexicon.GAZETTEERS.items() for n, c in e] + fixtures.CSV_ENTRIES)}) g(gazetteer, name, category)",
+        "rule_catalog": f"SELECT * FROM ({o.values(fixtures.RULES)}) r(family, n_categories, n_patterns)",
+        "mapping_load": f"SELECT original, alias, prefix, n FROM ({o.values(fixtures.JSON_ENTRIES)}) k(original, alias, prefix, n)",
+        "restore_loaded": q([o.DOCS, o.NORMALIZED], "SELECT doc_id, t || ' 115, CAF de Paris <PHONE_70> café \"x\"' AS text FROM norm"),
+        "docx_scan": f"SELECT * FROM ({o.values(fixtures.DOCX_TEXTS)}) d(file, text)",
+        "text_sink": q([o.DOCS, o.NORMALIZED], "SELECT doc_id, t AS text FROM norm"),
+        "sentence_chunks": o.sentenced(),
+        "model_annotations": o.modelled(),
+        "gazetteer_join": q(o.DETECT, f"SELECT {base} FROM cand WHERE source = 'GAZETTEER'"),
+        "person_predicates": o.persons(),
+        "stage_counts": o.counted(),
         "mapping_stats": q(o.REWRITE, "SELECT prefix, count(*) AS total, max(n) AS highest FROM alia GROUP BY prefix"),
         "normalize_text": q([o.DOCS, o.NORMALIZED], "SELECT doc_id, t AS text FROM norm"),
         "clean_artifacts": q(plain, r"SELECT doc_id, replace(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), chr(9), ' ') AS text FROM docs"),

@@ -1,8 +1,8 @@
 """The detection rules: families, categories and patterns in the order in which they emit.
 
 Patterns are written with correct French accents. Their status says what the ``faithful`` profile makes of each:
-L as written; I accented capitals can't begin a name; A only unaccented spellings match; X never matches; E is no valid
-pattern and is left out. The ``repaired`` profile uses all patterns as written. Where both differ otherwise, the faithful
+L as written; I accented capitals can't begin a name; A only unaccented spellings match; X matches only texts whose UTF-8
+was misread as Windows-1252, as the rule itself was; E is no valid pattern and is left out. The ``repaired`` profile uses all patterns as written. Where both differ otherwise, the faithful
 form stands beside it.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from ..functions.spans import AT, DIGITS
+from ..functions.spans import AT, DIGITS, MISREAD
 
 #: An initial that may be accented, and the rest of a name.
 CAP = "[A-ZÉÈÀÂÎÙÔÇ]"
@@ -57,7 +57,7 @@ ORG = {
     "ORG_JUSTICE": [("I", rf"\bTJ\s+{WORD}\b"), ("I", rf"\bTGI\s+{WORD}\b"), ("L", r"\bTribunal\s+(?:Judiciaire|de\s+Grande\s+Instance)\b")],
     "ORG_DDETS": [("L", r"\bDDETS(?:PP)?\b"), ("P", r"\bDirection\s+d'(?:l')?emploi\b", r"\bDirection\s+d'emploi\b")],
     "ORG_ARS": [*_acronyms("ARS"), ("X", r"\bAgence\s+Régionale\s+de\s+Santé\b")],
-    "ORG_ASE": [*_acronyms("ASE"), ("X", r"\bAide\s+Sociale\s+à\s+l'Enfance\b")],
+    "ORG_ASE": [*_acronyms("ASE"), ("X", r"\bAide\s+Sociale\s+à\s+l[’']Enfance\b")],
     "ORG_PJJ": [*_acronyms("PJJ"), ("L", r"\bProtection\s+Judiciaire\s+de\s+la\s+Jeunesse\b")],
     "ORG_MDPH": [*_acronyms("MDPH"), ("X", r"\bMaison\s+Départementale\s+des\s+Personnes\s+Handicapées\b")],
     "ORG_PMI": [*_acronyms("PMI"), ("L", r"\bProtection\s+Maternelle\s+et\s+Infantile\b")],
@@ -80,15 +80,15 @@ ORG = {
     "ORG_EPSM": [*_acronyms("EPSM"), ("X", r"\bÉtablissement\s+Public\s+de\s+Santé\s+Mentale\b")],
     "ORG_CMP": [*_acronyms("CMP"), ("X", r"\bCentre\s+Médico\s+Psychologique\b")],
     "ORG_CMPP": [*_acronyms("CMPP"), ("X", r"\bCentre\s+Médico\s+Psycho\s+Pédagogique\b")],
-    "ORG_CATTP": [*_acronyms("CATTP"), ("X", r"\bCentre\s+d'Accueil\s+Thérapeutique\s+à\s+Temps\s+Partiel\b")],
-    "ORG_CSAPA": [*_acronyms("CSAPA"), ("X", r"\bCentre\s+de\s+Soin\s+d'Accompagnement\s+et\s+de\s+Prévention\s+en\s+Addictologie\b")],
-    "ORG_CAARUD": [*_acronyms("CAARUD"), ("X", r"\bCentre\s+d'Accueil\s+et\s+d'Accompagnement\s+à\s+la\s+Réduction\s+des\s+Risques\b")],
-    "ORG_PASS": [*_acronyms("PASS"), ("X", r"\bPermanence\s+d'Accès\s+aux\s+Soins\s+de\s+Santé\b")],
+    "ORG_CATTP": [*_acronyms("CATTP"), ("X", r"\bCentre\s+d’Accueil\s+Thérapeutique\s+à\s+Temps\s+Partiel\b")],
+    "ORG_CSAPA": [*_acronyms("CSAPA"), ("X", r"\bCentre\s+de\s+Soin\s+d’Accompagnement\s+et\s+de\s+Prévention\s+en\s+Addictologie\b")],
+    "ORG_CAARUD": [*_acronyms("CAARUD"), ("X", r"\bCentre\s+d’Accueil\s+et\s+d’Accompagnement\s+à\s+la\s+Réduction\s+des\s+Risques\b")],
+    "ORG_PASS": [*_acronyms("PASS"), ("X", r"\bPermanence\s+d’Accès\s+aux\s+Soins\s+de\s+Santé\b")],
     "ORG_MDA": [*_acronyms("MDA"), ("L", r"\bMaison\s+des\s+Adolescents\b")],
-    "ORG_CAMSP": [*_acronyms("CAMSP"), ("X", r"\bCentre\s+d'Action\s+Médico\s+Sociale\s+Précoce\b")],
-    "ORG_CHRS": [*_acronyms("CHRS"), ("X", r"\bCentre\s+d'Hébergement\s+et\s+de\s+Réinsertion\s+Sociale\b")],
+    "ORG_CAMSP": [*_acronyms("CAMSP"), ("X", r"\bCentre\s+d[’']Action\s+Médico\s+Sociale\s+Précoce\b")],
+    "ORG_CHRS": [*_acronyms("CHRS"), ("X", r"\bCentre\s+d[’']Hébergement\s+et\s+de\s+Réinsertion\s+Sociale\b")],
     "ORG_CADA": [*_acronyms("CADA"), ("L", r"\bCentre\s+d'Accueil\s+de\s+Demandeurs\s+d'Asile\b")],
-    "ORG_HUDA": [*_acronyms("HUDA"), ("X", r"\bHébergement\s+d'Urgence\s+pour\s+Demandeurs\s+d'Asile\b")],
+    "ORG_HUDA": [*_acronyms("HUDA"), ("X", r"\bHébergement\s+d[’']Urgence\s+pour\s+Demandeurs\s+d[’']Asile\b")],
     "ORG_PRAHDA": _acronyms("PRAHDA"),
     "ORG_CAO": [*_acronyms("CAO"), ("L", r"\bCentre\s+d'Accueil\s+et\s+d'Orientation\b")],
     "ORG_MISSION_LOCALE": [
@@ -128,7 +128,7 @@ ORG = {
     "ORG_ARMEE_SALUT": [("X", r"\bArmée\s+du\s+Salut\b")],
     "ORG_APF": [("L", r"\bAPF\s+France\s+handicap\b")],
     "ORG_UNAPEI": [("L", r"\b(?:UNAPEI|ADAPEI|APEI)\b")],
-    "ORG_ASEI": [*_acronyms("ASEI"), ("X", r"\bAssociation\s+au\s+Service\s+de\s+l'Enfance\s+Inadaptée\b")],
+    "ORG_ASEI": [*_acronyms("ASEI"), ("X", r"\bAssociation\s+au\s+Service\s+de\s+l[’']Enfance\s+Inadaptée\b")],
     "ORG_APAJH": _acronyms("APAJH"),
     "ORG_AFM_TELETHON": [("X", r"\bAFM\s+Téléthon\b")],
     "ORG_SAUVEGARDE": [("E", rf"\bSauvegarde\s+(?:\d{{2}}|de\s+l'Enfance|de\s+{LONG})\b")],
@@ -213,11 +213,18 @@ FAMILIES = {
 }
 
 
+def misread(pattern: str) -> str:
+    """A pattern's UTF-8 read as Windows-1252."""
+    return pattern.encode().decode("cp1252")
+
+
 def faithful(entry: tuple[str, ...]) -> str | None:
-    """What a pattern is in the faithful profile; null if it never matches."""
+    """What a pattern is in the faithful profile; null if it is none."""
     status, pattern = entry[0], entry[1]
-    if status in ("X", "E"):
+    if status == "E":
         return None
+    if status == "X":
+        return misread(pattern)
     if status == "P":
         return entry[2]
     if status in ("I", "A"):
@@ -227,6 +234,11 @@ def faithful(entry: tuple[str, ...]) -> str | None:
     return pattern
 
 
+def repaired(entry: tuple[str, ...]) -> str:
+    """What a pattern is in the repaired profile: normalized texts have plain apostrophes only."""
+    return entry[1].replace("[’']", "'").replace("’", "'")
+
+
 _LITERAL = re.compile(r"\\b(?:\[([A-Za-z])[A-Za-z]\])?([A-Za-zÀ-ÿŒ]*)")
 _CHOICE = re.compile(r"\\b\(\?:([A-Za-z|]+)\)\\b")
 #: Words that matches of patterns with optional parts begin with.
@@ -261,16 +273,22 @@ def anchors_of(pattern: str) -> tuple[str, ...]:
     return (word.lower(),) if len(word) > 1 and pattern[m.end() :].startswith((r"\s+", r"\b")) else ()
 
 
-def rules(profile: str = "faithful", extra: dict[str, dict[str, list[str]]] | None = None) -> list[Rule]:
-    """The rules of a profile in emission order, with ``extra`` patterns (family, category, patterns) after the shipped ones."""
+def rules(profile: str = "faithful", extra: dict[str, dict[str, list[str]]] | None = None, shipped: bool = True) -> list[Rule]:
+    """The rules of a profile in emission order, with ``extra`` patterns (family, category, patterns) after the shipped ones.
+
+    Without ``shipped`` the extra patterns are all there are.
+    """
     out: list[Rule] = []
-    for family, (label, categories, ignore_case, extend) in FAMILIES.items():
+    for family, (label, own, ignore_case, extend) in FAMILIES.items():
+        categories = own if shipped else {}
         more = {c: [("L", p) for p in patterns] for c, patterns in (extra or {}).get(family, {}).items()}
         for category in [*categories, *(c for c in more if c not in categories)]:
-            for entry in [*categories.get(category, []), *more.get(category, [])]:
-                pattern = faithful(entry) if profile == "faithful" else entry[1]
+            entries = [*((*e, profile) for e in categories.get(category, [])), *((*e, "given") for e in more.get(category, []))]
+            for *entry, kind in entries:
+                pattern = faithful(entry) if kind == "faithful" else repaired(entry) if kind == "repaired" else entry[1]
                 if pattern is not None:
-                    out.append(Rule(len(out), family, label, category, pattern, ignore_case, extend, anchors_of(pattern)))
+                    anchors = (MISREAD,) if kind == "faithful" and entry[0] == "X" else anchors_of(pattern)
+                    out.append(Rule(len(out), family, label, category, pattern, ignore_case, extend, anchors))
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import logging
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -138,6 +140,38 @@ def mapping_json(entries: DataFrame, *keys: str) -> DataFrame:
     return table.select(*keys, F.to_json(F.struct(pairs("original", "alias").alias("forward"), pairs("alias", "original").alias("reverse"), "counters", stats.alias("stats"))).alias("value"))
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``), deleted when the application ends.
+
+    Only where that is unset and all runs on one machine a temporary folder takes its place.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def write_file(spark: SparkSession, path: str, content: str | bytes) -> str:
+    """Writes one small file (a mapping, a rule file) wherever Spark can, in place of an earlier one; returns its path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    finally:
+        out.close()
+    return path
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """The text of one small file, wherever Spark can read it; a byte order mark is left out."""
+    return spark.read.text(path, wholetext=True).first().value.removeprefix("\ufeff")
+
+
 def write_texts(docs: DataFrame, path: str) -> None:
     """doc_id and text as parquet: one row a document, whatever it holds."""
     docs.select("doc_id", "text").write.mode("overwrite").parquet(path)

@@ -34,10 +34,26 @@ def new_aliases(entities: DataFrame, store: DataFrame) -> DataFrame:
     return moved.select("original", F.concat(F.lit("<"), "prefix", F.lit("_"), F.col("n").cast("string"), F.lit(">")).alias("alias"), "prefix", "n")
 
 
+def detected(store_path: str, batch: int) -> str:
+    """Where a batch's documents and entities are kept while it is rewritten."""
+    return f"{store_path.rstrip('/')}-detected/batch={batch}"
+
+
+def forget(spark: SparkSession, store_path: str, batch: int) -> None:
+    """Deletes what was kept of a batch that is rewritten."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(detected(store_path, batch))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def rewrite_batch(engine: Engine, docs: DataFrame, store_path: str, batch: int) -> DataFrame:
-    """doc_id and text of a batch, pseudonymized under the store's aliases and the batch's own, which are written."""
+    """doc_id and text of a batch, pseudonymized under the store's aliases and the batch's own, which are written.
+
+    What is detected is written beside the store, so that it is detected once and each retry starts there; ``forget``
+    deletes it.
+    """
     spark = docs.sparkSession
-    done = engine.step(engine.resolved(docs), rewrite.applied)
+    engine.applied(docs).write.mode("overwrite").parquet(detected(store_path, batch))
+    done = spark.read.parquet(detected(store_path, batch))
     flat = done.select("doc_id", F.explode("entities").alias("e")).select("doc_id", F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.text").alias("text"), F.coalesce("e.category", "e.label").alias("prefix"))
     before = store_before(spark, store_path, batch)
     new_aliases(flat, before).write.mode("overwrite").parquet(f"{store_path}/batch={batch}")
@@ -53,6 +69,7 @@ def pseudonymize_stream(documents: DataFrame, engine: Engine, store_path: str, o
 
     def write(docs: DataFrame, batch: int) -> None:
         rewrite_batch(engine, docs, store_path, batch).write.mode("overwrite").parquet(f"{output}/batch={batch}")
+        forget(docs.sparkSession, store_path, batch)
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -27,6 +27,19 @@ def test_a_stream_keeps_its_aliases(spark, tmp_path):
     assert len({a.alias for a in aliases}) == len({a.original for a in aliases}) == len(aliases) == 5
 
 
+def test_rules_and_model_of_the_command_line(spark, tmp_path):
+    text, out, rules = (tmp_path / n for n in ("a.txt", "b.txt", "r.yaml"))
+    text.write_text("Ana va à la CAF, Orion", encoding="utf-8")
+    rules.write_text("\ufefforg_regex:\n  ORG_OWN: ['\\bOrion\\b']\n", encoding="utf-8")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "g.csv").write_text("name,category\nxyz,ORG_X\n", encoding="utf-8")
+    where = ["--input", str(text), "--output", str(out), "--gazetteers", str(tmp_path / "none")]
+    assert cli.main([*where, "--rules", str(rules)]) == 0
+    assert out.read_text(encoding="utf-8") == "Ana va à la CAF, <ORG_OWN_1>"
+    assert cli.main([*where, "--more-rules", str(rules), "--model", "incognita.plans.fixtures:leading_word"]) == 0
+    assert out.read_text(encoding="utf-8") == "<PER_1> va à la <ORG_CAF_1>, <ORG_OWN_1>"
+
+
 def test_corpus_numbers_are_dense(spark):
     rows = [(d, s, f"x{(d * 7 + s) % 40}", "A" if (d * 7 + s) % 40 < 36 else "B") for d in range(30) for s in range(4)]
     found = rewrite.corpus_aliases(spark.createDataFrame(rows, "doc_id long, start int, text string, prefix string"), blocks=4).collect()
