@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as texts
 from ..functions.spans import hits
 from ..operators import classify, detect, ner, resolve, rewrite
-from ..operators.entities import rows
+from ..operators.entities import let, rows
 from ..sources import catalog, lexicon, readers
 from . import fixtures, oracle
 from .pipeline import Engine
@@ -153,10 +153,11 @@ def _rules(label: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def rules_geo_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule matches that a following place extended, and whether their text still is the slice."""
-    docs = Engine._once(ENGINE.normalized(inputs(spark, sf_dir)))
+    docs, text = Engine._once(ENGINE.normalized(inputs(spark, sf_dir))), F.col("text")
     bare = [catalog.Rule(r.seq, r.family, r.label, r.category, r.pattern, r.ignore_case, False, r.anchors) for r in ENGINE.rules() if r.extend_geo]
-    found = docs.select("doc_id", "text", F.explode(detect.rule_entities(F.col("text"), hits(F.col("text"), detect.anchors_of_all(bare, {})), bare)).alias("e"))
-    long = found.select("doc_id", "text", "e", detect.extended(F.col("text"), F.col("e")).alias("x")).where(F.col("x.end") > F.col("e.end"))
+    found = let(hits(text, detect.anchors_of_all(bare, {})), lambda held: detect.rule_entities(text, held, bare))
+    both = F.transform(found, lambda e: F.struct(e["end"].alias("end"), detect.extended(text, e).alias("x")))
+    long = docs.select("doc_id", "text", F.explode(F.filter(both, lambda b: b["x"]["end"] > b["end"])).alias("b")).select("doc_id", "text", "b.x")
     whole = F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start")) == F.col("x.text")
     return long.select("doc_id", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), F.col("x.text").alias("entity"), F.col("x.category").alias("category"), whole.alias("is_slice"))
 

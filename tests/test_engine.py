@@ -95,6 +95,20 @@ def test_queries_equal_their_reference_sql(spark, sf_dir):
         assert sorted(map(repr, map(_loose, found))) == sorted(map(repr, map(_loose, expected))), name
 
 
+@pytest.mark.parametrize("name", ["rules_geo_extended", "candidate_union", "gazetteer_join"])
+def test_a_texts_words_are_parted_once_for_all_rules(spark, sf_dir, name):
+    """Rules are chosen by words at hand: taking them from the text there would part it once for each rule."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    chosen = re.findall(r"arrays_overlap\(([^()]*)([()])", plan)
+    assert chosen and all(end == ")" for _, end in chosen)
+
+
+def test_places_are_sought_once_for_each_match(spark, sf_dir):
+    """One operator seeks them; a condition or a column above it would seek them again."""
+    plan = registry.queries()["rules_geo_extended"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(lexicon.GEO in line for line in plan.splitlines()) == 1
+
+
 def _loose(row):
     return tuple(round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in row)
 
